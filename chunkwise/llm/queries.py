@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chunkwise.llm import exact_dedup, url_filter
+from chunkwise.llm import decontaminate, exact_dedup, packing, simhash, token_counts, tokens, url_filter
 from chunkwise.llm._common import LOWER, UPPER, table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's 3-word SimHash and the least document it reaches over links of 2 bits or fewer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = simhash.near_duplicates(docs, k=3, distance=2)
+    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the contract's rules, else by the spam host rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -15,15 +23,38 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds 0.8 or more of a benchmark item's 5-word shingles, with the item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    out = decontaminate.find(docs, items, k=5, threshold=0.8)
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "containment", "shared", "shingles")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document of equal text that stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.content_sort(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, and where it is packed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = packing.pack(docs, tokens.public_byte_bpe(), capacity=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every encoded length of a document: documents, tokens, and tokens left when cut there."""
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents"), tokens.public_byte_bpe()))
+
+
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
+    "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
 }
 
 _REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
@@ -51,6 +82,19 @@ ORACLE_SQL = {
             ELSE 'allow' END AS verdict
         FROM ruled
     """,
+    "op6_decontaminate": """
+        WITH words AS (
+            SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+            UNION ALL
+            SELECT 'i', item_id, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+        ),
+        cut AS (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0),
+        shingled AS (SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') || '|' || least(len(w), 5) AS s FROM cut),
+        sizes AS (SELECT id, count(*) AS n FROM shingled WHERE kind = 'i' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) / any_value(n)::DOUBLE AS containment, count(*) AS shared, any_value(n) AS shingles
+        FROM shingled d JOIN shingled i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN sizes z ON z.id = i.id
+        GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n)
+    """,
     "op7_exact_dedup": f"""
         WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -60,11 +60,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every scratch table made so far; results read from them must be written."""
+def staged_count() -> int:
+    return len(_staged)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables made since ``staged_count()`` was ``since``; results read from them must be written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
+    while len(_staged) > since:
         path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
         path.getFileSystem(conf).delete(path, True)
 

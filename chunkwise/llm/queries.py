@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwise.llm import decontaminate, exact_dedup, packing, simhash, token_counts, tokens, url_filter
+from chunkwise.llm import decontaminate, exact_dedup, packing, sharding, simhash, token_counts, tokens, toxicity, url_filter, warc
 from chunkwise.llm._common import LOWER, UPPER, table
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 23 that differ by one row at most, in random order."""
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return out.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's 3-word SimHash and the least document it reaches over links of 2 bits or fewer."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -23,6 +33,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a lexicon learned from the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(~toxicity.training_part(F.col("id")) & F.col("id").isNotNull(), F.lit(False))
+    return out.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds 0.8 or more of a benchmark item's 5-word shingles, with the item."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -48,13 +66,22 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents"), tokens.public_byte_bpe()))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to a ZIP-packaged web archive and read back by ranges."""
+    out = warc.archived(table(spark, sf_dir, "pages"), least_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
+    "op4_toxicity": op4_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
+    "op10_warc": op10_warc,
 }
 
 _REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
@@ -101,4 +128,18 @@ ORACLE_SQL = {
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC) = 1 AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY norm)
     """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (
+            SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS smallest
+            FROM p
+        )
+        SELECT page_id, payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+                   ((16 * (instr('0123456789abcdef', substr(h, 1 + 5 * i // 4, 1)) - 1) + instr('0123456789abcdef', substr(h, 2 + 5 * i // 4, 1)) - 1)
+                   >> (3 - (5 * i % 4))) & 31)::INT, 1) FOR i IN range(32)], '') AS payload_digest,
+               CASE WHEN page_id = smallest THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> smallest THEN smallest END AS refers_to
+        FROM d
+    """,
 }

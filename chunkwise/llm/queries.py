@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkwise.llm import decontaminate, exact_dedup, packing, sharding, simhash, token_counts, tokens, toxicity, url_filter, warc
+from chunkwise.llm import decontaminate, exact_dedup, packing, sharding, simhash, substring_dedup, token_counts, tokens, toxicity, url_filter, warc
 from chunkwise.llm._common import LOWER, UPPER, table
 
 
@@ -41,6 +41,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that a document shares with another, nearly or exactly."""
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.passages(docs, k=5, words=50, similarity=0.8).withColumnsRenamed({"id": "doc_id", "partner": "partner_id"})
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds 0.8 or more of a benchmark item's 5-word shingles, with the item."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -77,6 +83,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,

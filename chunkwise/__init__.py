@@ -1,0 +1 @@
+"""Chunked, self-describing compressed binary columns as Spark DataFrames."""

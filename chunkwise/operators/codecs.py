@@ -48,6 +48,8 @@ def decompress(codec: int, data: bytes, size: int) -> bytes | None:
             return bytelz.decompress(data, size)
         if codec in (C.LZ4, C.LZ4HC):
             out = _arrow("lz4_raw").decompress(data, size, asbytes=True)
+            if _fits_in_less(data, size):
+                return None
         elif codec == C.SNAPPY:
             if _snappy_size(data) != size:
                 return None
@@ -64,6 +66,15 @@ def decompress(codec: int, data: bytes, size: int) -> bytes | None:
     return out if len(out) == size else None
 
 
+def _fits_in_less(data: bytes, size: int) -> bool:
+    """The library doesn't tell how much an LZ4 block gave; one that fits into a byte less gave too little."""
+    try:
+        _arrow("lz4_raw").decompress(data, size - 1)
+    except (OSError, ValueError):
+        return False
+    return size > 0
+
+
 def _snappy_size(data: bytes) -> int:
     size = 0
     for i, byte in enumerate(data[:5]):

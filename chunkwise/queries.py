@@ -425,7 +425,7 @@ def _id_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCKS = "WITH c AS (SELECT event_id // 10000 AS chunk_id, count(*) * 8 AS nbytes FROM events GROUP BY 1), b AS (SELECT chunk_id, nbytes, unnest(range((nbytes + 32767) // 32768)) AS block_idx FROM c)"
 
 
-@query("block_index", f"{_BLOCKS} SELECT chunk_id, block_idx, least(32768, nbytes - block_idx * 32768) AS block_nbytes, nbytes - block_idx * 32768 < 32768 AS leftover, 1 AS nstreams, true AS in_order FROM b")
+@query("block_index", f"{_BLOCKS} SELECT chunk_id, block_idx, least(32768, nbytes - block_idx * 32768) AS block_nbytes, nbytes > 32768 AND nbytes - block_idx * 32768 < 32768 AS leftover, 1 AS nstreams, true AS in_order FROM b")
 def block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = relational.blocks(_id_chunks(spark, sf_dir))
     return rows.select("chunk_id", F.col("block_idx").cast("long").alias("block_idx"), "block_nbytes", "leftover", "nstreams", ((F.col("bstart") >= 32) & (F.col("block_cbytes") > 0)).alias("in_order"))

@@ -2,9 +2,13 @@
 
 A file holds the frames of one column one after the other, then an index (JSON: for
 each chunk the place of its first item, its items, where its frames stand and how long
-they are), the index's length and a closing mark. A reader plans from the indexes
-alone: predicates on ``elem_idx`` leave out chunks before a byte of them is read, and
-blocks of the chunks that remain.
+they are), the index's length and a closing mark; its name tells the range of places in
+it. Predicates on ``elem_idx`` leave out files by their names, which is all the driver
+looks at; each task reads one file's index and leaves out chunks before a byte of them
+is read, and blocks of the chunks that remain.
+
+Tasks write files of at most ``FILE_BYTES`` (and one chunk) under names that no reader
+takes up; the driver gives them their names when the whole write is done.
 
 Options: ``type`` (the column's SQL type, needed to read), and for writing ``items``,
 ``codec``, ``clevel``, ``filter``, ``version``. ``mode`` "values" (default) reads rows
@@ -23,6 +27,7 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +43,8 @@ from chunkwise.operators import pack
 from chunkwise.operators.frame import CParams
 
 MARK = b"FRAMED01"
-#: Bytes of chunks that one task reads.
-TASK_BYTES = 64_000_000
+#: Bytes of frames in one file, which one task reads.
+FILE_BYTES = 128_000_000
 #: Items of a batch handed to Spark.
 BATCH = 65_536
 
@@ -60,11 +65,16 @@ class Chunk:
 
 @dataclass
 class Part(InputPartition):
+    """A file, and which places of it are wanted: from ``lo`` up to, without, ``hi``."""
+
     path: str
-    chunks: list[Chunk]
+    size: int
     lo: int
     hi: int
 
+    def chunks(self) -> list[Chunk]:
+        return [c for c in index_of(self.path, self.size) if c.first < self.hi and c.first + c.n > self.lo]
+
 
 def _open(path: str):
     from pyarrow import fs
@@ -134,28 +144,21 @@ class FramedReader(DataSourceReader):
             yield f  # Spark applies them again: lists and nulls aren't handled here in full
 
     def partitions(self) -> list[Part]:
-        out: list[Part] = []
+        out = []
         for path, size in _files(self.options["path"]):
-            held, total = [], 0
-            for c in index_of(path, size):
-                if c.first < self.hi and c.first + c.n > self.lo:
-                    held.append(c)
-                    total += sum(c.lengths)
-                    if total >= TASK_BYTES:
-                        out.append(Part(path, held, self.lo, self.hi))
-                        held, total = [], 0
-            if held:
-                out.append(Part(path, held, self.lo, self.hi))
-        return out or [Part("", [], 0, 0)]
+            first, end = map(int, path.rsplit("/", 1)[1].split("-")[:2])
+            if first < self.hi and end > self.lo:
+                out.append(Part(path, size, self.lo, self.hi))
+        return out or [Part("", 0, 0, 0)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        if not partition.chunks:
+        if not partition.path:
             return
         where, inner = _open(partition.path)
         chunks_only = self.options.get("mode", "values") == "chunks"
         kind = None if chunks_only else to_arrow_type(self.schema["v"].dataType)
         with where.open_input_file(inner) as f:
-            for c in partition.chunks:
+            for c in partition.chunks():
                 if chunks_only:
                     h = frames.parse_header(f.read_at(C.HEADER_V2, c.at) + bytes(c.lengths[0]))
                     row = [c.first // max(1, c.n), c.first, c.n, h.nbytes, h.cbytes]
@@ -177,12 +180,35 @@ class FramedReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    """Files of a task, by the names they have and those they get."""
 
+    names: list[tuple[str, str]]
 
-class FramedWriter(DataSourceArrowWriter):
-    """Each task writes one file under a name of its own; those of tasks that don't count are removed."""
 
+class _File:
+    """One file that is being written."""
+
+    def __init__(self, root: str, params: CParams, where) -> None:
+        self.params, self.name = params, uuid.uuid4().hex
+        self.root, self.out = root, where.open_output_stream(f"{root}/{self.name}.part")
+        self.chunks: list[Chunk] = []
+        self.at = 0
+
+    def put(self, first: int, values: pa.Array) -> None:
+        made = [x or b"" for x in pack._frames(values, self.params)]
+        self.out.write(b"".join(made))
+        self.chunks.append(Chunk(first, len(values), self.at, [len(x) for x in made]))
+        self.at += sum(map(len, made))
+
+    def close(self) -> tuple[str, str]:
+        index = json.dumps([[c.first, c.n, c.at, c.lengths] for c in self.chunks]).encode()
+        self.out.write(index + struct.pack("<Q8s", len(index), MARK))
+        self.out.close()
+        first, end = min(c.first for c in self.chunks), max(c.first + c.n for c in self.chunks)
+        return f"{self.root}/{self.name}.part", f"{self.root}/{first}-{end}-{self.name}.framed"
+
+
+class FramedWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool) -> None:
         self.options, self.schema = options, schema
         self.old = [p for p, _ in _files(options["path"])] if overwrite else []
@@ -193,52 +219,51 @@ class FramedWriter(DataSourceArrowWriter):
         params = CParams(o.get("codec", C.DEFAULT_CODEC), int(o.get("clevel", C.DEFAULT_CLEVEL)), pack.width_of(kind), o.get("filter", C.EASY_FILTER), int(o.get("version", 2)))
         items = int(o.get("items", pack.ITEMS))
         where, root = _open(o["path"])
+        root = root.rstrip("/")
         where.create_dir(root, recursive=True)
-        name = f"{root.rstrip('/')}/{uuid.uuid4().hex}.framed"
-        chunks: list[Chunk] = []
-        with where.open_output_stream(name) as out:
-            at = 0
-
-            def put(first: int, values: pa.Array) -> None:
-                nonlocal at
-                made = pack._frames(values, params)
-                lengths = [len(x or b"") for x in made]
-                out.write(b"".join(x or b"" for x in made))
-                chunks.append(Chunk(first, len(values), at, lengths))
-                at += sum(lengths)
-
-            held: pa.Table | None = None
-            for batch in batches:
-                table = pa.Table.from_batches([batch])
-                held = table if held is None else pa.concat_tables([held, table])
-                held = self._put_runs(held, items, put, False)
-            if held is not None:
-                self._put_runs(held, items, put, True)
-            index = json.dumps([[c.first, c.n, c.at, c.lengths] for c in chunks]).encode()
-            out.write(index + struct.pack("<Q8s", len(index), MARK))
-        return Written(name)
-
-    @staticmethod
-    def _put_runs(rows: pa.Table, items: int, put, all_of_it: bool) -> pa.Table:
-        """Put whole chunks: runs of consecutive places that don't cross a multiple of ``items``; returns what isn't whole yet."""
-        places = rows.column("elem_idx").to_numpy()
-        values = rows.column("v").combine_chunks()
-        values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-        cut = np.flatnonzero((places[1:] != places[:-1] + 1) | (places[1:] % items == 0)) + 1
-        bounds = [0, *cut.tolist(), len(places)]
-        last = len(bounds) - 1 if all_of_it else len(bounds) - 2
-        for a, b in zip(bounds[:last], bounds[1 : last + 1], strict=True):
-            if b > a:
-                put(int(places[a]), values.slice(a, b - a))
-        return rows.slice(bounds[last]) if not all_of_it else rows.slice(len(places))
+        names: list[tuple[str, str]] = []
+        file: _File | None = None
+        for first, values in _runs(batches, items):
+            file = file or _File(root, params, where)
+            file.put(first, values)
+            if file.at >= FILE_BYTES:
+                names.append(file.close())
+                file = None
+        if file:
+            names.append(file.close())
+        return Written(names)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        where, _ = _open(self.options["path"])
+        for m in messages:
+            for written, final in m.names if m else ():
+                where.move(written, final)
         for path in self.old:
-            where, inner = _open(path)
-            where.delete_file(inner)
+            where.delete_file(_open(path)[1])
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        where, _ = _open(self.options["path"])
         for m in messages:
-            if m and m.path:
-                where, inner = _open(m.path)
-                where.delete_file(inner)
+            for written, _ in m.names if m else ():
+                where.delete_file(written)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], items: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first place, values) of whole chunks: runs of consecutive places that don't cross a multiple of ``items``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([*held, batch])
+        places = rows.column("elem_idx").to_numpy()
+        cut = np.flatnonzero((places[1:] != places[:-1] + 1) | (places[1:] % items == 0)) + 1
+        yield from _pieces(rows, [0, *cut.tolist()])
+        held = rows.slice(int(cut[-1]) if len(cut) else 0).combine_chunks().to_batches()
+    if held and sum(b.num_rows for b in held):
+        rows = pa.Table.from_batches(held)
+        yield from _pieces(rows, [0, rows.num_rows])
+
+
+def _pieces(rows: pa.Table, bounds: list[int]) -> Iterator[tuple[int, pa.Array]]:
+    for a, b in pairwise(bounds):
+        values = rows.column("v").slice(a, b - a).combine_chunks()
+        values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+        yield rows.column("elem_idx")[a].as_py(), values

@@ -104,9 +104,12 @@ def test_predicates_leave_out_chunks(spark, tmp_path):
     path = str(tmp_path / "f")
     spark.range(1000).select(F.col("id").alias("elem_idx"), (F.col("id") * 0.5).alias("v")).coalesce(1).write.format("framed").option("items", 50).mode("append").save(path)
     reader = framed.FramedReader({"path": path, "type": "double"}, None)
-    assert sum(len(p.chunks) for p in reader.partitions()) == 20
+    assert sum(len(p.chunks()) for p in reader.partitions()) == 20
     list(reader.pushFilters([framed.GreaterThanOrEqual(("elem_idx",), 120), framed.LessThan(("elem_idx",), 151), framed.GreaterThan(("v",), 1)]))
-    assert [(c.first, c.n) for p in reader.partitions() for c in p.chunks] == [(100, 50), (150, 50)]
+    assert [(c.first, c.n) for p in reader.partitions() for c in p.chunks()] == [(100, 50), (150, 50)]
+    list(reader.pushFilters([framed.GreaterThan(("elem_idx",), 5000)]))
+    assert [p.path for p in reader.partitions()] == [""]  # the name alone rules the file out
+    assert not [f for f in os.listdir(path) if f.endswith(".part")]
 
 
 def test_streaming(spark, tmp_path):

@@ -60,3 +60,76 @@ EASY_FILTER = "shuffle"
 # Outcomes, as they stand in status columns.
 OK, INVALID_HEADER, FAILED, UNSUPPORTED_CODEC, OUT_OF_RANGE = "ok", "invalid_header", "failed", "unsupported_codec", "out_of_range"
 MESSAGES = {INVALID_HEADER: "invalid header", FAILED: "decompression failed"}
+
+# The rest of the format's surface: nothing here decides how frames are read or written
+# by this engine, but frames and callers elsewhere use these values.
+
+# Where each field of a header stands.
+HEADER_OFFSETS = {
+    "version": 0x00, "versionlz": 0x01, "flags": 0x02, "typesize": 0x03, "nbytes": 0x04, "blocksize": 0x08,
+    "cbytes": 0x0C, "filters": 0x10, "filters_meta": 0x18, "v2_flags": 0x1F,
+}
+
+# Flags of the last header byte, special frames, split modes.
+USE_DICT, BIG_ENDIAN, INSTRUMENTED = 0x01, 0x02, 0x80
+SPECIAL_VALUES = {"none": 0, "zero": 1, "nan": 2, "value": 3, "uninit": 4}
+SPECIAL_MASK = 0x07
+SPLIT_MODES = {"always": 1, "never": 2, "auto": 3, "forward_compat": 4}
+
+# Limits.
+MAX_OVERHEAD = HEADER_V2
+L2 = 256 * 1024
+MAX_THREADS = 256
+MAX_DICT_SIZE = 128 * 1024
+MAX_BLOCKSIZE = 536_866_816
+MAX_DIMENSIONS = 8
+MAX_USER_FILTERS = 16
+
+# Who may use which ids of filters, codecs and tuners.
+ID_RANGES = {"defined": (0, 31), "globally_registered": (32, 159), "user_registered": (160, 255)}
+GLOBALLY_REGISTERED = {"filters": 5, "codecs": 5, "tuners": 0}
+UDCODEC_LIBRARY, SCHUNK_LIBRARY = 6, 7
+
+# Error codes.
+ERROR_CODES = {
+    "success": 0,
+    "failure": -1,
+    "stream": -2,
+    "data": -3,
+    "memory_alloc": -4,
+    "read_buffer": -5,
+    "write_buffer": -6,
+    "codec_support": -7,
+    "codec_param": -8,
+    "codec_dict": -9,
+    "version_support": -10,
+    "invalid_header": -11,
+    "invalid_param": -12,
+    "file_read": -13,
+    "file_write": -14,
+    "file_open": -15,
+    "not_found": -16,
+    "run_length": -17,
+    "filter_pipeline": -18,
+    "chunk_insert": -19,
+    "chunk_append": -20,
+    "chunk_update": -21,
+    "2gb_limit": -22,
+    "schunk_copy": -23,
+    "frame_type": -24,
+    "file_truncate": -25,
+    "thread_create": -26,
+    "postfilter": -27,
+    "frame_special": -28,
+    "schunk_special": -29,
+    "plugin_io": -30,
+    "file_remove": -31,
+    "null_pointer": -32,
+    "invalid_index": -33,
+    "metalayer_not_found": -34,
+    "max_bufsize_exceeded": -35,
+    "tuner": -36,
+}
+
+#: The code of each outcome in a status column.
+STATUS_CODES = {OK: 0, FAILED: ERROR_CODES["failure"], INVALID_HEADER: ERROR_CODES["invalid_header"], UNSUPPORTED_CODEC: ERROR_CODES["codec_support"], OUT_OF_RANGE: ERROR_CODES["invalid_index"]}

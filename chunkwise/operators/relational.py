@@ -7,7 +7,7 @@ caller decodes reach Python.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwise import constants as C
@@ -101,3 +101,14 @@ def library_info(names: DataFrame, name: str = "name") -> DataFrame:
     """``names`` with library, lib_version and lib_code of each codec name; null for others. Names are exact."""
     info = F.create_map(*[x for n, (lib, version, code) in C.LIBRARIES.items() for x in (F.lit(n), F.struct(F.lit(lib).alias("library"), F.lit(version).alias("lib_version"), F.lit(code).alias("lib_code")))])
     return names.withColumn("_i", F.try_element_at(info, F.col(name))).select(*names.columns, "_i.library", "_i.lib_version", "_i.lib_code")
+
+
+def codec_dimension(spark: SparkSession) -> DataFrame:
+    """One row for each codec: codec, name, v1_format, v2_format, library, lib_version, lib_code."""
+    rows = [(i, name, v1, v2, *C.LIBRARIES[name]) for name, (i, v1, v2) in C.CODECS.items()]
+    return spark.createDataFrame(rows, "codec int, name string, v1_format int, v2_format int, library string, lib_version string, lib_code int")
+
+
+def status_code(status: Column) -> Column:
+    """The number that stands for an outcome elsewhere; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in C.STATUS_CODES.items() for x in pair]), status)

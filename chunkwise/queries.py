@@ -274,6 +274,17 @@ def cparams_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([values], "codec string, clevel int, typesize int, filter string, nthreads int, reader_threads int")
 
 
+@query("codec_dimension", "SELECT * FROM (VALUES (0, 'blosclz', 0, 0, 'BloscLZ', 0), (1, 'lz4', 1, 1, 'LZ4', 1), (2, 'lz4hc', 1, 1, 'LZ4', 1), (3, 'snappy', 2, 3, 'Snappy', 2), (4, 'zlib', 3, 3, 'Zlib', 3), (5, 'zstd', 4, 4, 'Zstd', 4)) t(codec, name, v1_format, v2_format, library, lib_code)")
+def codec_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.codec_dimension(spark).drop("lib_version")
+
+
+@query("status_codes", "SELECT * FROM (VALUES ('ok', 0), ('failed', -1), ('unsupported_codec', -7), ('invalid_header', -11), ('out_of_range', -33), ('other', NULL)) t(status, code)")
+def status_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcomes = spark.createDataFrame([(s,) for s in [*C.STATUS_CODES, "other"]], "status string")
+    return outcomes.select("status", relational.status_code(F.col("status")).alias("code"))
+
+
 # Plans over a grid of parameters.
 
 GRID = [(i % 6, (0, 1, 2, 3, 5, 6, 7, 8, 9)[i % 9 if i % 2 else (i // 2) % 9], (1, 2, 4, 8, 16, 20)[(i // 3) % 6], (i // 5) % 3, 1 + (i // 7) % 2, (1, 60, 3000)[(i // 2) % 3]) for i in range(72)]

@@ -3,7 +3,10 @@
 Sampled splitters range-partition the normalised bytes, an external sort puts equal
 texts next to each other, and a window over each run of equal texts (Spark's window
 closes a run by comparing the whole key of neighbouring rows) picks the row that
-stays. Only DataFrame functions are used.
+stays. Only DataFrame functions are used. Splitters are compared by a text's first
+``PREFIX`` characters and, where texts begin alike, by a hash of the whole; so the
+sample that the driver takes has rows of bounded size, and no common opening can
+collect many texts in one range.
 
 One text may hold any share of the rows. A first pass counts 64-bit hashes of the
 texts; texts with more rows than an average partition (fewer than there are
@@ -24,6 +27,10 @@ from pyspark.sql import functions as F
 from chunkwise.llm._common import ascii_lower, fresh, partitions
 
 
+#: Characters that splitters hold.
+PREFIX = 32
+
+
 def normalised(text: Column) -> Column:
     """A-Z folded to a-z, nothing else; null counts as empty."""
     return ascii_lower(F.coalesce(text, F.lit("")))
@@ -50,17 +57,17 @@ def content_sort(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if clash := {"keep_id", "group_size", "kept", "text_sha256"} & {c.lower() for c in df.columns}:
         raise ValueError(f"rename these columns first: {sorted(clash)}")
     spark = df.sparkSession
-    key, salt, rank, n, best, hot_n, hot_best, sha = fresh(df, "_key", "_salt", "_rank", "_n", "_best", "_hot_n", "_hot_best", "_sha")
+    key, opening, digest, salt, rank, n, best, hot_n, hot_best, sha = fresh(df, "_key", "_opening", "_digest", "_salt", "_rank", "_n", "_best", "_hot_n", "_hot_best", "_sha")
     pick = F.max if keep == "max" else F.min
     text, ids = normalised(F.col(text_col)), F.col(id_col)
     hot = hot_hashes(df, text_col)
-    sort_key = [F.col(key)]
-    out = df.withColumn(key, text)
+    sort_key = [F.col(opening), F.col(digest)]
+    out = df.withColumn(key, text).withColumns({opening: F.substring(key, 1, PREFIX), digest: F.xxhash64(key)})
     if hot:
         is_hot = F.xxhash64(text).isin(hot)
-        out = out.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(ids), F.lit(partitions(spark)))).otherwise(F.lit(-1).cast("long")))
+        out = out.withColumn(salt, F.when(F.col(digest).isin(hot), F.pmod(F.xxhash64(ids), F.lit(partitions(spark)))).otherwise(F.lit(-1).cast("long")))
         sort_key.append(F.col(salt))
-    run = Window.partitionBy(*sort_key)
+    run = Window.partitionBy(*sort_key, F.col(key))
     order = ids.desc_nulls_last() if keep == "max" else ids.asc_nulls_last()
     # the window asks for no other exchange: a range partitioning keeps the rows of a key together
     out = (

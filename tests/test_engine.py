@@ -122,3 +122,15 @@ def test_streaming(spark, tmp_path):
     q.stop()
     rows = spark.sql("SELECT id, CAST(buffer AS STRING) AS t FROM restored").collect()
     assert sorted((r["id"], r["t"]) for r in rows) == [(i, f"text {i}") for i in range(100)]
+
+
+def test_sql_names(spark):
+    from chunkwise.functions import sql
+
+    sql.register(spark)
+    spark.createDataFrame([("abc" * 50,), (None,)], "t string").createOrReplaceTempView("texts")
+    rows = spark.sql("""
+        WITH f AS (SELECT t, frame_compress(t, 'zstd', 3, 1, 'none', 2) AS frame FROM texts)
+        SELECT t, CAST(frame_decompress(frame) AS STRING) AS back, frame_status(frame) AS status, CAST(frame_items(frame, 3, 3) AS STRING) AS items, frame_status(substr(frame, 1, 5)) AS cut FROM f
+    """).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("abc" * 50, "abc" * 50, "ok", "abc", "invalid_header"), (None,) * 5], key=str)

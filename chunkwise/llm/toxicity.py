@@ -10,7 +10,10 @@ a score between 0 and 1 by a logistic function.
 The lexicon, its weights and the logistic function are learned from labelled texts:
 at most ``FIT_ROWS`` of each label, those with the least hashes of their ids. A term
 is taken if it stands in toxic texts more often than chance allows, over all terms
-that were looked at. Scores depend on texts alone.
+that were looked at, in the toxic texts that no better term explains: long texts share
+many rare words, and without this the words that go along with toxic ones would be
+taken too. Terms that stand in a fair part of the toxic texts and hardly anywhere else
+are taken in any case. Scores depend on texts alone.
 
 Defined results: null and empty texts hold no terms and get the score of such texts;
 repeated rows are scored alike; without labelled texts of both kinds nothing can be
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwise.llm._common import ship
+from chunkwise.llm._common import ship, staged
 
 #: Labelled texts of each kind that are learned from, at most.
 FIT_ROWS = 10_000
@@ -42,8 +45,10 @@ BEGINNINGS = (4, 5, 6)
 LEAST_WEIGHT, LEAST_G = 2.0, 30.0
 #: Least share of the toxic texts that a term stands in, and least number of them.
 LEAST_SHARE, LEAST_TEXTS = 0.01, 4
-#: Terms of the lexicon, at most.
-TERMS = 5_000
+#: Share of toxic texts of a term that is taken in any case, and its other texts for each toxic one.
+FAIR_SHARE, HARDLY = 0.03, 0.01
+#: Terms of the lexicon, at most, and terms looked at closely.
+TERMS, LOOKED_AT = 2_000, 20_000
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = dict(zip("абвгеёзікмнорстухуѕјԁԛԝαβεικνορτυχω", "abbreezikmhopctyxysjdqwabeikvoptuxw", strict=True))
@@ -122,29 +127,53 @@ def candidates(text: str | None) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in BEGINNINGS if len(w) >= n}
 
 
-def chosen(counts: list[tuple[str, int, int]], texts: tuple[int, int], share: float) -> list[tuple[str, float]]:
-    """Terms and weights from (term, toxic texts, other texts) rows.
+@dataclass(frozen=True)
+class Evidence:
+    """How much a term tells: log odds, and the likelihood ratio against chance."""
 
-    ``texts``: toxic and other texts; ``share``: of all terms' texts, the toxic ones.
-    """
-    ranked = []
-    for term, toxic, other in counts:
+    weight: float
+    g: float
+
+    @classmethod
+    def of(cls, toxic: int, other: int, texts: tuple[int, int], share: float) -> Evidence:
+        """``texts``: toxic and other texts; ``share``: of all terms' texts, the toxic ones."""
         n = toxic + other
         weight = float(np.log((toxic + 0.5) / (texts[0] + 1)) - np.log((other + 0.5) / (texts[1] + 1)))
-        g = 2 * (toxic * np.log(max(toxic, 1e-9) / (n * share)) + (other * np.log(other / (n * (1 - share))) if other else 0))
-        if weight >= LEAST_WEIGHT and g >= LEAST_G:
-            ranked.append((-g, -len(term), term, weight))
-    taken: dict[str, float] = {}
-    stems: set[str] = set()
-    for _, _, term, weight in sorted(ranked):
+        parts = [(x, e) for x, e in ((toxic, n * share), (other, n * (1 - share))) if x]
+        return cls(weight, float(2 * sum(x * np.log(x / e) for x, e in parts)))
+
+    @property
+    def enough(self) -> bool:
+        return self.weight >= LEAST_WEIGHT and self.g >= LEAST_G
+
+
+def chosen(counts: list[tuple[str, int, int]], holders: dict[str, set[int]], texts: tuple[int, int], share: float) -> list[tuple[str, float]]:
+    """Terms and weights from (term, toxic texts, other texts) rows and the toxic texts that hold each term."""
+    whole = {term: Evidence.of(toxic, other, texts, share) for term, toxic, other in counts}
+    left = {term: set(holders.get(term, ())) for term, _, _ in counts if whole[term].enough}
+    others = {term: other for term, _, other in counts}
+    least = max(LEAST_TEXTS, LEAST_SHARE * texts[0])
+    taken: list[str] = []
+
+    def related(term: str) -> bool:
         stem = term.strip()
-        # of words and their beginnings the one that tells most, once
-        if not any(stem.startswith(s) or s.startswith(stem) for s in stems):
-            taken[term] = weight
-            stems.add(stem)
-        if len(taken) == TERMS:
+        return any(stem.startswith(s.strip()) or s.strip().startswith(stem) for s in taken)
+
+    while left and len(taken) < TERMS:
+        # of words and their beginnings the one that tells most; of equals the longest
+        ranked = {t: Evidence.of(len(h), others[t], texts, share) for t, h in left.items() if len(h) >= least}
+        best = max((t for t, e in ranked.items() if e.enough), key=lambda t: (ranked[t].g, len(t), t), default=None)
+        if best is None:
             break
-    return sorted(taken.items())
+        explained = left.pop(best)
+        if not related(best):
+            taken.append(best)
+            left = {t: h - explained for t, h in left.items()}
+    fair = max(LEAST_TEXTS, FAIR_SHARE * texts[0])
+    for term, toxic, other in sorted(counts, key=lambda c: (-whole[c[0]].g, -len(c[0]), c[0])):
+        if toxic >= fair and other <= HARDLY * toxic and whole[term].enough and not related(term):
+            taken.append(term)
+    return sorted((t, whole[t].weight) for t in taken)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple[float, float, float]:
@@ -185,12 +214,25 @@ def learn(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([by[1][t] for t in terms], pa.int64()), pa.array([by[0][t] for t in terms], pa.int64())], names=["term", "toxic", "other"])
 
     counts = own.mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    mass = F.struct("term", "toxic", "other")
-    # rarer terms tell a few copied texts, not toxicity; what remains is bounded by the sample
+    counts = staged(counts, "terms")  # as many as the sample has
+    # rarer terms tell a few copied texts, not toxicity
     least = max(LEAST_TEXTS, LEAST_SHARE * n[1])
-    found = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.collect_list(F.when((F.col("toxic") >= least) & (F.col("toxic") * n[0] >= 7 * F.col("other") * n[1]), mass)).alias("terms")).first()
-    share = found["toxic"] / max(1, found["toxic"] + found["other"])
-    model = Model(tuple(chosen([tuple(t) for t in found["terms"]], (n[1], n[0]), min(max(share, 1e-6), 1 - 1e-6))), exceptions)
+    close = counts.where((F.col("toxic") >= least) & (F.col("toxic") * n[0] >= 7 * F.col("other") * n[1])).orderBy(F.desc("toxic"), "other", "term").limit(LOOKED_AT)
+    terms = [(r["term"], r["toxic"], r["other"]) for r in close.collect()]
+    mass = counts.agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).first()
+    share = min(max(mass["toxic"] / max(1, mass["toxic"] + mass["other"]), 1e-6), 1 - 1e-6)
+    wanted = {t for t, toxic, other in terms if Evidence.of(toxic, other, (n[1], n[0]), share).enough}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(candidates(t.as_py()) & wanted) for t in batch.column(0)], pa.list_(pa.string()))], names=["terms"])
+
+    holders: dict[str, set[int]] = {}
+    toxic_texts = own.where("label = 1").mapInArrow(held, "terms array<string>") if wanted else own.limit(0).select(F.array().cast("array<string>").alias("terms"))
+    for i, row in enumerate(toxic_texts.toLocalIterator()):  # at most FIT_ROWS
+        for term in row["terms"]:
+            holders.setdefault(term, set()).add(i)
+    model = Model(tuple(chosen(terms, holders, (n[1], n[0]), share)), exceptions)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(model)
@@ -219,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = own.where("label = 0").orderBy(*order).limit(FIT_ROWS).unionAll(own.where("label = 1").orderBy(*order).limit(FIT_ROWS))
     # at most 2 * FIT_ROWS ids are sent to every executor
     labelled = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text", "label")
-    return learn(labelled, shares=tuple(min(1.0, FIT_ROWS / total[i]) for i in (0, 1)))
+    return learn(staged(labelled, "labelled"), shares=tuple(min(1.0, FIT_ROWS / total[i]) for i in (0, 1)))
 
 
 def scored(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

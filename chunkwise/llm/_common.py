@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkwise._ship import ship
+
+__all__ = ["LOWER", "UPPER", "ascii_lower", "fresh", "partitions", "release", "scratch_dir", "ship", "staged", "staged_count", "staged_path", "table"]
+
 #: ASCII letters; the contracts fold these and no others.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -73,20 +74,6 @@ def release(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whatever their import path is."""
-    sc = spark.sparkContext
-    if getattr(sc, "_chunkwise_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    out = os.path.join(tempfile.mkdtemp(prefix="chunkwise-code-"), f"{package.name}.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    sc.addPyFile(out)
-    sc._chunkwise_shipped = True
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that ``df`` doesn't use, in any letter case."""
     used = {c.lower() for c in df.columns}

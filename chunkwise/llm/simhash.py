@@ -7,9 +7,9 @@ under the first segments of the chain, as they are and, where the budget allows,
 bits flipped; those that meet there must hold the budgets of all longer prefixes
 before the whole distance is counted.
 
-Texts of one fingerprint are one row in the search. Within a bucket, links found are
-merged as they come and only those that join two parts are passed on, so a bucket
-never gives more links than it has members, and no link between parts is lost. A
+Texts of one fingerprint are one row in the search. Of the links within a bucket those
+of a minimum spanning forest (by distance) are passed on, so a bucket never gives more
+links than it has members, what any links join stays joined, and the closest do it. A
 bucket with over ``BUCKET`` members is divided by the chain's next segment, again with
 the flips that the budget allows, until it is small or a further division would take
 over ``FLIPS`` flips; what is left then is compared in blocks of bounded memory.
@@ -45,7 +45,7 @@ COUNT_AT_ONCE = 100_000
 #: A bucket is divided by one more segment if that takes no more flips.
 FLIPS = 128
 #: Pairs compared at once.
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 400_000
 
 
 def shingle_digests(text: bytes, k: int) -> list[int]:
@@ -79,8 +79,8 @@ def fingerprints(digests: list[int], sizes: list[int]) -> np.ndarray:
     return out
 
 
-def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
-    """Rows (id, fp): every row's fingerprint as a signed long."""
+def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, distinct: bool = False) -> DataFrame:
+    """Rows (id, fp): every row's fingerprint as a signed long, of all or of the ``distinct`` k-word shingles."""
     ship(df.sparkSession)
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("fp", T.LongType())])
 
@@ -91,6 +91,7 @@ def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             sizes: list[int] = []
             for text in batch.column(1):
                 found = shingle_digests((text.as_py() or "").encode(), k)
+                found = [*dict.fromkeys(found)] if distinct else found
                 digests += found
                 sizes.append(len(found))
                 if len(digests) > COUNT_AT_ONCE:
@@ -171,23 +172,45 @@ def _linked(home: np.ndarray, away: np.ndarray, start: int, ring: Ring, length:
             yield home[left // len(part)], part[left % len(part)]
 
 
-def _joining(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """The pairs that join two parts, in order."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = parent[x]
-        return x
-
-    out = []
+def joining(x: np.ndarray, y: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Which links make a minimum spanning forest, by Boruvka's steps: each part takes its least link until none is left."""
+    nodes, ends = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = ends[: len(x)], ends[len(x) :]
+    part = np.arange(len(nodes))
+    order = np.argsort(distance, kind="stable")  # a link's rank: no two are alike
+    taken = np.zeros(len(x), bool)
+    while True:
+        order = order[part[a[order]] != part[b[order]]]
+        if not len(order):
+            return np.flatnonzero(taken)
+        both = np.concatenate([part[a[order]], part[b[order]]])
+        rank = np.concatenate([np.arange(len(order))] * 2)
+        least = np.full(len(nodes), len(order))
+        np.minimum.at(least, both, rank)
+        best = order[np.unique(least[np.unique(both)])]
+        taken[best] = True
+        # parts that took a link to each other become one: hook larger numbers to smaller ones until nothing moves
+        for u, v in zip(*(part[e[best]].tolist() for e in (a, b)), strict=True):
+            u, v = _root(part, u), _root(part, v)
+            part[max(u, v)] = min(u, v)
+        while (up := part[part]).tolist() != part.tolist():
+            part = up
+
+
+def _root(part: np.ndarray, x: int) -> int:
+    while part[x] != x:
+        x = part[x]
+    return int(x)
+
+
+def _joined(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """The closest links that join all parts that any links join; holds few more links than members."""
+    x = y = np.zeros(0, np.uint64)
     for a, b in pairs:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if (p := root(x)) != (q := root(y)):
-                parent[max(p, q)] = min(p, q)
-                out.append((x, y))
-    return out
+        x, y = np.concatenate([x, a]), np.concatenate([y, b])
+        keep = joining(x, y, np.bitwise_count(x ^ y))
+        x, y = x[keep], y[keep]
+    return list(zip(x.tolist(), y.tolist(), strict=True))
 
 
 def _search(filed: DataFrame, ring: Ring, length: int) -> DataFrame:
@@ -201,7 +224,7 @@ def _search(filed: DataFrame, ring: Ring, length: int) -> DataFrame:
             if len(fp) > BUCKET and not last:
                 out.extend((x, None, start) for x in fp.tolist())
             elif home.any():
-                out.extend((a, b, start) for a, b in _joining(_linked(fp[home], fp, start, ring, length)))
+                out.extend((a, b, start) for a, b in _joined(_linked(fp[home], fp, start, ring, length)))
 
         held: list[tuple[np.ndarray, ...]] = []  # rows of the bucket that goes on
         over: tuple[int, int] | None = None  # a bucket whose rows go on as they come, as it must be divided
@@ -282,9 +305,10 @@ def clustered(printed: DataFrame, joined: DataFrame) -> DataFrame:
     least = printed.groupBy("fp").agg(F.min("id").alias("least"))
     reach = components(joined).withColumnRenamed("node", "fp")
     linked = reach.join(least, "fp")
-    best = linked.groupBy("root").agg(F.min("least").alias("best"))
-    reached = linked.join(best, "root").select("fp", "best")
-    whole = least.join(reached, "fp", "left").select("fp", F.coalesce("best", "least").alias("component"))
+    # both are written, so that the joins with them are of two plain shuffles, which Spark splits where a key has many rows
+    best = staged(linked.groupBy("root").agg(F.min("least").alias("best")), "best")
+    reached = reach.join(best, "root").select("fp", "best")
+    whole = staged(least.join(reached, "fp", "left").select("fp", F.coalesce("best", "least").alias("component")), "parts")
     return printed.join(whole, "fp").select("id", "fp", "component")
 
 
@@ -330,12 +354,14 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """One row of each group of near copies (the one with the least id), with all its columns.
 
     Copies are texts of one fingerprint, and texts within ``distance`` bits whose word
-    k-shingles then prove to have a Jaccard similarity of at least ``similarity``.
+    k-shingles then prove to have a Jaccard similarity of at least ``similarity``. The
+    fingerprints are of distinct words: one changed word changes k shingles, but one
+    word, which keeps near copies' fingerprints close enough for a selective search.
     """
     held = [f"_c{i}" for i in range(len(df.columns))]
     names = dict(zip(df.columns, held, strict=True))
     plain = df.toDF(*held)
-    printed = staged(fingerprinted(plain, names[id_col], names[text_col]), "fingerprints")
+    printed = staged(fingerprinted(plain, names[id_col], names[text_col], 1, True), "fingerprints")
     joined = links(printed.select("fp").distinct(), distance, segments, length).distinct()
     good = similar(plain, joined, printed, names[id_col], names[text_col], k, similarity)
     gone = clustered(printed, good).where("NOT (id <=> component)").select(F.col("id").alias("_gone")).distinct()

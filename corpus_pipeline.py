@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 Parquet and read again as the next stage's documents. The first four return the rows
 they keep, with the columns of ``documents``; the last returns the packed pieces.
+
+Defined results, in every stage: a null text counts as empty, and all empty texts are
+copies of one another; rows whose other columns are null are rows like any other; of
+repeated rows one stays; rows without an id stay unless their text goes; rows that
+share an id but not a text are judged one by one, except among near copies, where they
+stand or fall together; an empty table gives an empty result; columns beyond those of
+``documents`` are carried up to the last stage, whatever they are called.
 """
 
 from __future__ import annotations

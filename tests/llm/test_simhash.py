@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from cases import SCHEMA, nasty_rows, prose
@@ -67,6 +68,24 @@ def test_crowded_buckets_are_divided(spark, monkeypatch, distance, segments, len
     assert brute_parts(ordered, linked) == brute_parts(ordered, every)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_spanning_forest(seed):
+    rng = np.random.default_rng(seed)
+    x, y = rng.integers(0, 30, 80).astype(np.uint64), rng.integers(0, 30, 80).astype(np.uint64)
+    d = rng.integers(0, 5, 80)
+    keep = simhash.joining(x, y, d)
+    nodes = set(x.tolist()) | set(y.tolist())
+    edges = list(zip(x.tolist(), y.tolist(), strict=True))
+    assert brute_parts(nodes, [edges[i] for i in keep]) == brute_parts(nodes, edges)
+    part, cost = {n: n for n in nodes}, []
+    for i in np.argsort(d, kind="stable"):
+        a, b = (part[e] for e in edges[i])
+        if a != b:
+            cost.append(d[i])
+            part = {n: a if p == b else p for n, p in part.items()}
+    assert sorted(d[keep].tolist()) == sorted(cost)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(50)] + [(rng.randint(200, 280), rng.randint(200, 280)) for _ in range(50)]

@@ -22,7 +22,7 @@ MAX_FILTERS = 6
 # Codecs: name, id, format code in v1 flags, format code in v2 flags.
 BYTELZ, LZ4, LZ4HC, SNAPPY, ZLIB, ZSTD = 0, 1, 2, 3, 4, 5
 CODECS = {
-    "blosclz": (BYTELZ, 0, 0),
+    "bytelz": (BYTELZ, 0, 0),
     "lz4": (LZ4, 1, 1),
     "lz4hc": (LZ4HC, 1, 1),
     "snappy": (SNAPPY, 2, 3),
@@ -30,6 +30,8 @@ CODECS = {
     "zstd": (ZSTD, 4, 4),
 }
 CODEC_NAMES = {i: name for name, (i, _, _) in CODECS.items()}
+#: Names that codecs have elsewhere.
+ALIASES = {"blosclz": "bytelz"}
 #: What a v1 format code decodes to.
 V1_FORMATS = {0: BYTELZ, 1: LZ4, 2: SNAPPY, 3: ZLIB, 4: ZSTD}
 
@@ -53,7 +55,7 @@ L1 = 32 * 1024
 MAX_SPLIT_BLOCK = 4 * 1024 * 1024
 
 # Defaults of the parameters.
-DEFAULT_CODEC, DEFAULT_CLEVEL, DEFAULT_TYPESIZE, DEFAULT_FILTER = "blosclz", 5, 8, "none"
+DEFAULT_CODEC, DEFAULT_CLEVEL, DEFAULT_TYPESIZE, DEFAULT_FILTER = "bytelz", 5, 8, "none"
 DEFAULT_NTHREADS = 1
 EASY_FILTER = "shuffle"
 

@@ -42,6 +42,7 @@ class CParams:
     codec_meta: int = 0
 
     def __post_init__(self) -> None:
+        object.__setattr__(self, "codec", C.ALIASES.get(self.codec, self.codec))
         if self.codec not in C.CODECS:
             raise ValueError(f"no codec {self.codec!r}; there are {', '.join(C.CODECS)}")
         if self.filter not in C.FILTERS:

@@ -105,7 +105,7 @@ def library_info(names: DataFrame, name: str = "name") -> DataFrame:
 
 def codec_dimension(spark: SparkSession) -> DataFrame:
     """One row for each codec: codec, name, v1_format, v2_format, library, lib_version, lib_code."""
-    rows = [(i, name, v1, v2, *C.LIBRARIES[name]) for name, (i, v1, v2) in C.CODECS.items()]
+    rows = [(i, name, v1, v2, *C.LIBRARIES[elsewhere]) for elsewhere, (name, (i, v1, v2)) in zip(C.LIBRARIES, C.CODECS.items(), strict=True)]
     return spark.createDataFrame(rows, "codec int, name string, v1_format int, v2_format int, library string, lib_version string, lib_code int")
 
 

@@ -263,18 +263,18 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("complib_info", "SELECT * FROM (VALUES ('blosclz', 'BloscLZ', '2.5.1', 0), ('lz4', 'LZ4', '1.9.4', 1), ('lz4hc', 'LZ4', '1.9.4', 1), ('snappy', 'Snappy', '1.1.9', 2), ('zlib', 'Zlib', '1.2.11', 3), ('zstd', 'Zstd', '1.5.2', 4), ('LZ4', NULL, NULL, NULL), ('none', NULL, NULL, NULL)) t(name, library, lib_version, lib_code)")
 def complib_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([(n,) for n in [*C.CODECS, "LZ4", "none"]], "name string")
+    names = spark.createDataFrame([(n,) for n in [*C.LIBRARIES, "LZ4", "none"]], "name string")
     return relational.library_info(names)
 
 
-@query("cparams_defaults", "SELECT 'blosclz' AS codec, 5 AS clevel, 8 AS typesize, 'none' AS filter, 1 AS nthreads, 1 AS reader_threads")
+@query("cparams_defaults", "SELECT 'bytelz' AS codec, 5 AS clevel, 8 AS typesize, 'none' AS filter, 1 AS nthreads, 1 AS reader_threads")
 def cparams_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Context()
     values = (c.cparams.codec, c.cparams.clevel, c.cparams.typesize, c.cparams.filter, c.cparams.nthreads, c.dparams.nthreads)
     return spark.createDataFrame([values], "codec string, clevel int, typesize int, filter string, nthreads int, reader_threads int")
 
 
-@query("codec_dimension", "SELECT * FROM (VALUES (0, 'blosclz', 0, 0, 'BloscLZ', 0), (1, 'lz4', 1, 1, 'LZ4', 1), (2, 'lz4hc', 1, 1, 'LZ4', 1), (3, 'snappy', 2, 3, 'Snappy', 2), (4, 'zlib', 3, 3, 'Zlib', 3), (5, 'zstd', 4, 4, 'Zstd', 4)) t(codec, name, v1_format, v2_format, library, lib_code)")
+@query("codec_dimension", "SELECT * FROM (VALUES (0, 'bytelz', 0, 0, 'BloscLZ', 0), (1, 'lz4', 1, 1, 'LZ4', 1), (2, 'lz4hc', 1, 1, 'LZ4', 1), (3, 'snappy', 2, 3, 'Snappy', 2), (4, 'zlib', 3, 3, 'Zlib', 3), (5, 'zstd', 4, 4, 'Zstd', 4)) t(codec, name, v1_format, v2_format, library, lib_code)")
 def codec_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.codec_dimension(spark).drop("lib_version")
 
@@ -360,7 +360,7 @@ def plan_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*_KEYS.split(", "), layout.planned_flags(Cols, *_plan_args()).cast("long").alias("flags"))
 
 
-@query("fmt_map_roundtrip", "SELECT * FROM (VALUES ('blosclz', 0, 0, 0, 0), ('lz4', 1, 1, 1, 1), ('lz4hc', 2, 1, 1, 1), ('snappy', 3, 2, 3, 3), ('zlib', 4, 3, 3, 4), ('zstd', 5, 4, 4, 5)) t(name, codec, v1_format, v2_format, v1_decoded)")
+@query("fmt_map_roundtrip", "SELECT * FROM (VALUES ('bytelz', 0, 0, 0, 0), ('lz4', 1, 1, 1, 1), ('lz4hc', 2, 1, 1, 1), ('snappy', 3, 2, 3, 3), ('zlib', 4, 3, 3, 4), ('zstd', 5, 4, 4, 5)) t(name, codec, v1_format, v2_format, v1_decoded)")
 def fmt_map_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     codecs = spark.createDataFrame([(n, i) for n, (i, _, _) in C.CODECS.items()], "name string, codec int")
     v1 = layout.format_code(Cols, F.col("codec"), 1)

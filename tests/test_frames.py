@@ -102,7 +102,7 @@ def test_filters(typesize):
 
 def test_items_of_many_blocks():
     values = np.arange(500_000, dtype="<i4")
-    for codec, filter_name in (("zstd", "shuffle"), ("lz4", "bitshuffle"), ("blosclz", "shuffle")):
+    for codec, filter_name in (("zstd", "shuffle"), ("lz4", "bitshuffle"), ("bytelz", "shuffle")):
         frame = fr.encode(values.tobytes(), CParams(codec, 3, 4, filter_name))
         assert np.frombuffer(fr.get_items(frame, 5, 5), "<i4").tolist() == [5, 6, 7, 8, 9]
         per = fr.parse_header(frame).blocksize // 4
@@ -120,12 +120,12 @@ def test_items_out_of_range():
 
 
 @pytest.mark.parametrize("least,data,p", [
-    (10, bytes(100_000), CParams("blosclz", 5, 4, "shuffle")),
+    (10, bytes(100_000), CParams("bytelz", 5, 4, "shuffle")),
     (10, bytes(64_000), CParams(filter="shuffle")),
     (10, bytes(64_000), CParams(filter="shuffle", version=1)),
     (1, b"\xaa" * 50_000, CParams(filter="shuffle")),
-    (1, np.arange(100_000, dtype="<u4").tobytes(), CParams("blosclz", 5, 4, "shuffle")),
-    (1, np.arange(500_000, dtype="<i4").tobytes(), CParams("blosclz", 5, 4, "shuffle")),
+    (1, np.arange(100_000, dtype="<u4").tobytes(), CParams("bytelz", 5, 4, "shuffle")),
+    (1, np.arange(500_000, dtype="<i4").tobytes(), CParams("bytelz", 5, 4, "shuffle")),
 ])
 def test_ratios(least, data, p):
     assert len(data) / len(fr.encode(data, p)) > least
@@ -217,6 +217,11 @@ def test_rules_for_what_writers_disagree_on():
     assert Context().cparams.filter == "none" and Context().cparams.typesize == 8
 
 
+def test_codecs_answer_to_other_names():
+    for other, name in C.ALIASES.items():
+        assert CParams(other) == CParams(name)
+
+
 def test_lz4hc_reads_as_lz4_in_version_1():
     frame = fr.encode(bytes(1000), CParams("lz4hc", version=1))
     assert fr.parse_header(frame).codec == C.LZ4 and fr.decode(frame) == bytes(1000)

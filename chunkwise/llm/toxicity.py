@@ -1,9 +1,10 @@
 """Toxicity by a weighted lexicon, matched with an Aho-Corasick automaton.
 
-Texts are folded first: lower case, letters without their marks, look-alike letters
-of other scripts and digits that stand for letters turned into the letters, anything
-else into spaces. The lexicon holds words and beginnings of words; all are found in
-one pass over the folded text. Terms inside an exception phrase don't count. The sum
+Texts are folded first: lower case, look-alike letters of other scripts and digits that
+stand for letters turned into the letters, anything else into spaces; and once more,
+where they have any, letters without their marks. The lexicon holds words and
+beginnings of words; all are found in one pass over each folded text, and one that
+stands in both at the same place counts once. Terms inside an exception phrase don't count. The sum
 of the found terms' weights, alone and normalised by the text's length, is turned into
 a score between 0 and 1 by a logistic function.
 
@@ -40,9 +41,9 @@ from chunkwise.llm._common import ship, staged
 #: Labelled texts of each kind that are learned from, at most.
 FIT_ROWS = 10_000
 #: Lengths of word beginnings that are looked at, besides whole words.
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 7)
 #: Least weight (log odds) of a term, and least likelihood-ratio statistic.
-LEAST_WEIGHT, LEAST_G = 2.0, 30.0
+LEAST_WEIGHT, LEAST_G = 1.5, 30.0
 #: Least share of the toxic texts that a term stands in, and least number of them.
 LEAST_SHARE, LEAST_TEXTS = 0.01, 4
 #: Share of toxic texts of a term that is taken in any case, and its other texts for each toxic one.
@@ -58,29 +59,36 @@ SUBSTITUTES = dict(zip("013457@$€", "oieastase", strict=True))
 EXCEPTIONS = ("trash can", "trash bin", "class clown fish", "clown fish", "clownfish", "idiot proof", "loser bracket", "pathetic fallacy")
 
 
-def _table() -> dict[int, str | None]:
-    out: dict[int, str | None] = {}
-    for c in range(0x3000):  # Latin with marks, signs and punctuation
-        base = unicodedata.normalize("NFKD", chr(c))[0].lower()
+def _tables() -> tuple[dict[int, str | None], dict[int, str]]:
+    """What each character is folded to, and the letters that then lose their marks."""
+    plain: dict[int, str | None] = {}
+    marks: dict[int, str] = {}
+    for c in range(0x3000):
         kind = unicodedata.category(chr(c))
+        base = unicodedata.normalize("NFKD", chr(c))[0]
         if kind in ("Mn", "Cf"):
-            out[c] = None
-        elif "a" <= base <= "z":
-            out[c] = base
+            plain[c] = None
         elif kind[0] not in "LN":
-            out[c] = " "
+            plain[c] = " "
+        elif c > 127 and "a" <= base <= "z":
+            marks[c] = base
     for c in range(0xFF10, 0xFF5B):  # full-width forms
         base = unicodedata.normalize("NFKC", chr(c)).lower()
-        out[c] = SUBSTITUTES.get(base, base if base.isalnum() else " ")
-    return out | {ord(a): b for a, b in (HOMOGLYPHS | SUBSTITUTES).items()}
+        plain[c] = SUBSTITUTES.get(base, base if base.isalnum() else " ")
+    return plain | {ord(a): b for a, b in (HOMOGLYPHS | SUBSTITUTES).items()}, marks
 
 
-TABLE = _table()
+PLAIN, MARKS = _tables()
 
 
 def fold(text: str | None) -> str:
     """The text with its words between single or more spaces, one at either end."""
-    return f" {text.lower().translate(TABLE)} " if text else "  "
+    return f" {text.lower().translate(PLAIN)} " if text else "  "
+
+
+def without_marks(folded: str) -> str:
+    """A folded text without marks, character by character."""
+    return folded if folded.isascii() else folded.translate(MARKS)
 
 
 @dataclass(frozen=True)
@@ -105,14 +113,19 @@ class Matcher:
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
-        hits = [(end - n + 1, end, w) for end, (n, w) in self.found.iter(folded)] if len(self.found) else []
+        hits = self._hits(folded)
+        if (bare := without_marks(folded)) != folded:
+            hits |= self._hits(bare)
         safe = [(a, b) for a, b, w in hits if w is None]
-        total = sum(w for a, b, w in hits if w is not None and not any(x <= a and b <= y for x, y in safe))
+        total = sum(w for a, b, w in sorted(hits, key=lambda h: h[:2]) if w is not None and not any(x <= a and b <= y for x, y in safe))
         if not total:
             return 0.0, 0.0
         words = max(1, folded.count(" ") - 1)
         return float(np.log1p(total)), float(np.log1p(100 * total / words))
 
+    def _hits(self, folded: str) -> set[tuple[int, int, float | None]]:
+        return {(end - n + 1, end, w) for end, (n, w) in self.found.iter(folded)} if len(self.found) else set()
+
     def score(self, text: str | None) -> float:
         if not self.model.factors:
             return 0.0
@@ -123,7 +136,9 @@ class Matcher:
 
 def candidates(text: str | None) -> set[str]:
     """The words of a text and their beginnings, as terms."""
-    words = {w for w in fold(text).split() if 3 <= len(w) <= 30}
+    folded = fold(text)
+    bare = without_marks(folded)
+    words = {w for w in {*folded.split(), *(bare.split() if bare != folded else ())} if 3 <= len(w) <= 30}
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in BEGINNINGS if len(w) >= n}
 
 

@@ -30,19 +30,28 @@ def unshuffle(data: bytes, typesize: int) -> bytes:
     return items.reshape(typesize, -1).T.tobytes() + tail
 
 
+#: For each byte an integer that has bit b of it as the lowest bit of byte b.
+SPREAD = sum(((np.arange(256, dtype=np.uint64) >> np.uint64(b)) & np.uint64(1)) << np.uint64(8 * b) for b in range(8))
+
+
+def _turned(octets: np.ndarray) -> np.ndarray:
+    """Groups of eight bytes (on the first axis of eight) as 8 x 8 bits, turned: byte b gets bit b of every byte."""
+    out = SPREAD[octets[0]]
+    for m in range(1, 8):
+        out |= SPREAD[octets[m]] << np.uint64(m)
+    return out[..., None].view(np.uint8)  # the eight bytes are the last axis
+
+
 def bitshuffle(data: bytes, typesize: int) -> bytes:
     items, tail = _head(data, typesize, 8)
-    bits = np.unpackbits(items[:, :, None], axis=2, bitorder="little")  # item, byte, bit
-    return np.packbits(bits.transpose(1, 2, 0), axis=2, bitorder="little").tobytes() + tail
+    groups = items.reshape(-1, 8, typesize)  # group, item, byte
+    return _turned(groups.transpose(1, 2, 0)).transpose(0, 2, 1).tobytes() + tail
 
 
 def bitunshuffle(data: bytes, typesize: int) -> bytes:
     items, tail = _head(data, typesize, 8)
-    if not items.size:
-        return data
-    planes = items.reshape(typesize, 8, -1, 1)  # byte, bit, group of eight items
-    bits = np.unpackbits(planes, axis=3, bitorder="little").reshape(typesize, 8, -1)
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").tobytes() + tail
+    planes = items.reshape(typesize, 8, len(items) // 8)  # byte, bit, group of eight items
+    return _turned(planes.transpose(1, 2, 0)).transpose(0, 2, 1).tobytes() + tail
 
 
 def permutation(size: Column, typesize: Column, inverse: bool = False) -> Column:

@@ -29,7 +29,7 @@ from itertools import combinations, pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,6 +79,23 @@ def fingerprints(digests: list[int], sizes: list[int]) -> np.ndarray:
     return out
 
 
+def _prints(texts: pa.Array, k: int, distinct: bool) -> pa.Array:
+    """Fingerprints of texts as signed longs."""
+    done: list[np.ndarray] = []
+    digests: list[int] = []
+    sizes: list[int] = []
+    for text in texts:
+        found = shingle_digests((text.as_py() or "").encode(), k)
+        found = [*dict.fromkeys(found)] if distinct else found
+        digests += found
+        sizes.append(len(found))
+        if len(digests) > COUNT_AT_ONCE:
+            done.append(fingerprints(digests, sizes))
+            digests, sizes = [], []
+    done.append(fingerprints(digests, sizes))
+    return pa.array(np.concatenate(done).view(np.int64))
+
+
 def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, distinct: bool = False) -> DataFrame:
     """Rows (id, fp): every row's fingerprint as a signed long, of all or of the ``distinct`` k-word shingles."""
     ship(df.sparkSession)
@@ -86,19 +103,7 @@ def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done: list[np.ndarray] = []
-            digests: list[int] = []
-            sizes: list[int] = []
-            for text in batch.column(1):
-                found = shingle_digests((text.as_py() or "").encode(), k)
-                found = [*dict.fromkeys(found)] if distinct else found
-                digests += found
-                sizes.append(len(found))
-                if len(digests) > COUNT_AT_ONCE:
-                    done.append(fingerprints(digests, sizes))
-                    digests, sizes = [], []
-            done.append(fingerprints(digests, sizes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(done).view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _prints(batch.column(1), k, distinct)], names=["id", "fp"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, schema)
 
@@ -319,21 +324,45 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return clustered(printed, joined)
 
 
-def similar(df: DataFrame, joined: DataFrame, printed: DataFrame, id_col: str, text_col: str, k: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts have a Jaccard similarity of word k-shingles of at least ``similarity``.
+def _sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each text a digest of its set of word k-shingles (of its words as they are, where it has none), and the set."""
+    for block in shingles.blocks(texts, k):
+        for i, (a, b) in enumerate(pairwise(block.at.tolist())):
+            found = np.unique(block.hashes[a:b])
+            if len(found):
+                yield xxhash.xxh64_intdigest(found.tobytes(), 42), found
+            else:
+                words = (texts[block.first + i].as_py() or "").lower().split()
+                yield xxhash.xxh64_intdigest(" ".join(words).encode(), 43), found
 
-    A fingerprint's text is that of its row with the least id.
-    """
-    wanted = joined.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    least = printed.groupBy("fp").agg(F.min("id").alias("id")).join(wanted, "fp")
-    text = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(least, "id")
+
+def described(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Rows (id, doc, fp, node, size): a key of id and text, the fingerprint of distinct words, and the k-shingle set's digest and size."""
+    ship(df.sparkSession)
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in ("doc", "fp", "node", "size"))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2)
+            nodes, sizes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+            for i, (node, found) in enumerate(_sets(texts, k)):
+                nodes[i], sizes[i] = node, len(found)
+            cols = [batch.column(0), batch.column(1), _prints(texts, 1, True), pa.array(nodes.view(np.int64)), pa.array(sizes)]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+
+    return df.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(work, schema)
+
+
+def similar(df: DataFrame, joined: DataFrame, printed: DataFrame, id_col: str, text_col: str, k: int, similarity: float) -> DataFrame:
+    """The links (a, b) of nodes whose sets of word k-shingles have a Jaccard similarity of at least ``similarity``."""
+    wanted = joined.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    least = printed.groupBy("node").agg(F.min("doc").alias("doc")).join(wanted, "node")
+    text = df.select(F.xxhash64(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).join(least, "doc")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[bytes] = []
-            for block in shingles.blocks(batch.column(1), k):
-                out += [np.unique(block.hashes[a:b]).tobytes() for a, b in pairwise(block.at.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["fp", "shingles"])
+            out = [found.tobytes() for _, found in _sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,27 +371,59 @@ def similar(df: DataFrame, joined: DataFrame, printed: DataFrame, id_col: str, t
             for p, q in zip(x, y, strict=True):
                 p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(both >= similarity * (len(p) + len(q) - both))
+                good.append(both > 0 and both >= similarity * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    shingled = staged(text.select("fp", "text").mapInArrow(sets, "fp long, shingles binary").dropDuplicates(["fp"]), "shingles")
-    pairs = joined.join(shingled.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(shingled.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    shingled = staged(text.select("node", "text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
+    pairs = joined.join(shingled.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(shingled.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
 
 
+def _parted(nodes: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` with ``part``, which nodes have in common that the links ``good`` join."""
+    reach = components(good).withColumnRenamed("root", "part")
+    return staged(nodes.join(reach, "node", "left").withColumn("part", F.coalesce("part", "node")), "nodes")
+
+
+def _apart(x: str, y: str, similarity: float) -> Column:
+    """Whether nodes x and y are of two parts and of sizes that the similarity allows."""
+    small, large = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    return (F.col(f"{x}.part") != F.col(f"{y}.part")) & (small >= F.lit(similarity) * large)
+
+
+def _within(nodes: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) of one fingerprint's nodes of different parts."""
+    x, y = nodes.alias("x"), nodes.alias("y")
+    found = x.join(y, "fp").where((F.col("x.node") < F.col("y.node")) & _apart("x", "y", similarity))
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, distance: int = 7, segments: int = 8, length: int = 2) -> DataFrame:
     """One row of each group of near copies (the one with the least id), with all its columns.
 
-    Copies are texts of one fingerprint, and texts within ``distance`` bits whose word
-    k-shingles then prove to have a Jaccard similarity of at least ``similarity``. The
+    Copies are texts within ``distance`` bits, those of one fingerprint included, whose
+    word k-shingles prove to have a Jaccard similarity of at least ``similarity``. The
     fingerprints are of distinct words: one changed word changes k shingles, but one
     word, which keeps near copies' fingerprints close enough for a selective search.
+
+    Texts with one set of shingles are one node. A fingerprint's nodes are first held
+    against its least one, and the least ones of linked fingerprints against each
+    other; then the nodes of one fingerprint that are still apart, pair by pair.
     """
     held = [f"_c{i}" for i in range(len(df.columns))]
     names = dict(zip(df.columns, held, strict=True))
     plain = df.toDF(*held)
-    printed = staged(fingerprinted(plain, names[id_col], names[text_col], 1, True), "fingerprints")
-    joined = links(printed.select("fp").distinct(), distance, segments, length).distinct()
-    good = similar(plain, joined, printed, names[id_col], names[text_col], k, similarity)
-    gone = clustered(printed, good).where("NOT (id <=> component)").select(F.col("id").alias("_gone")).distinct()
+    printed = staged(described(plain, names[id_col], names[text_col], k), "fingerprints")
+    joined = staged(links(printed.select("fp").distinct(), distance, segments, length).distinct(), "joined")
+    nodes = staged(printed.select("fp", "node", "size").distinct(), "nodes")
+    first = staged(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "first")
+    one, other = (first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in "ab")
+    across = joined.join(one, "a").join(other, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    star = nodes.join(first.where("n > 1"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    check = lambda found: staged(similar(plain, staged(found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"), printed, names[id_col], names[text_col], k, similarity), "good")
+    good = check(across.unionAll(star))
+    parted = _parted(nodes, good)
+    mixed = parted.groupBy("fp").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("fp")
+    good = good.unionAll(check(_within(staged(parted.join(mixed, "fp"), "mixed"), similarity)))
+    gone = clustered(printed.select("id", F.col("node").alias("fp")), good).where("NOT (id <=> component)").select(F.col("id").alias("_gone")).distinct()
     return plain.join(gone, plain[names[id_col]] == gone["_gone"], "left_anti").toDF(*df.columns)

@@ -112,3 +112,16 @@ def test_deduplicate_keeps_clean_rows_and_columns(spark):
     kept = {r["doc_id"] for r in out.collect()}
     assert set(range(60)) <= kept
     assert len(kept & set(range(100, 110))) <= 1
+
+
+def test_texts_of_one_fingerprint_are_verified(spark):
+    rng = random.Random(12)
+    words = prose(rng, 120).split()
+    rows = []
+    for i in range(6):  # one set of words in six orders: one fingerprint, unlike shingles
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), None, None, None))
+    rows += [(10 + i, rows[i][1] + " " + words[-1], None, None, None) for i in (2, 5)]  # near copies with that fingerprint
+    fps = {r["fp"] for r in simhash.fingerprinted(spark.createDataFrame(rows, SCHEMA), k=1, distinct=True).collect()}
+    assert len(fps) == 1
+    assert {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(6))

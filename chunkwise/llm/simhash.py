@@ -158,7 +158,8 @@ def _filed(fps: DataFrame, ring: Ring, length: int) -> DataFrame:
         own = F.col("fp").bitwiseAND(F.lit(signed(ring.mask(s, length))))
         flips = [signed(d) for d in ring.flips(s, length)]
         rows += [F.struct(F.lit(s).alias("start"), own.bitwiseXOR(F.lit(d)).alias("key"), F.lit(d == 0).alias("home")) for d in flips]
-    return fps.select("fp", F.explode(F.array(*rows)).alias("x")).select("x.start", "x.key", "fp", "x.home")
+    parts = [c for c in fps.columns if c == "part"]
+    return fps.select("fp", *parts, F.explode(F.array(*rows)).alias("x")).select("x.start", "x.key", "fp", "x.home", *parts)
 
 
 def _linked(home: np.ndarray, away: np.ndarray, start: int, ring: Ring, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -219,22 +220,31 @@ def _joined(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, i
 
 
 def _search(filed: DataFrame, ring: Ring, length: int) -> DataFrame:
-    """Rows (a, b, start): links; and, with b null, members of buckets that must be divided."""
+    """Rows (a, b, start): links; and, with b null, members of buckets that must be divided.
+
+    The links are those of a bucket's spanning forest; where rows have a ``part``, all between different parts.
+    """
     last = not ring.divides(length)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int | None, int]] = []
 
-        def bucket(start: int, fp: np.ndarray, home: np.ndarray) -> None:
+        def bucket(start: int, fp: np.ndarray, home: np.ndarray, *part: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(fp) > BUCKET and not last:
                 out.extend((x, None, start) for x in fp.tolist())
+            elif home.any() and part:
+                order = np.argsort(fp)
+                ordered, of = fp[order], part[0][order]
+                for a, b in _linked(fp[home], fp, start, ring, length):
+                    x = of[np.searchsorted(ordered, a)] != of[np.searchsorted(ordered, b)]
+                    yield _rows([(a, b, start) for a, b in zip(a[x].tolist(), b[x].tolist(), strict=True)])
             elif home.any():
                 out.extend((a, b, start) for a, b in _joined(_linked(fp[home], fp, start, ring, length)))
 
         held: list[tuple[np.ndarray, ...]] = []  # rows of the bucket that goes on
         over: tuple[int, int] | None = None  # a bucket whose rows go on as they come, as it must be divided
         for batch in batches:
-            cols = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            cols = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
             if over:
                 same = int(((cols[0] == over[0]) & (cols[1] == over[1])).sum())  # sorted, so they stand first
                 out.extend((x, None, over[0]) for x in cols[2][:same].view(np.uint64).tolist())
@@ -242,7 +252,7 @@ def _search(filed: DataFrame, ring: Ring, length: int) -> DataFrame:
             if held:
                 cols = tuple(np.concatenate(x) for x in zip(*held, cols, strict=True))
                 held = []
-            start, key, fp, home = cols
+            start, key, fp, home, *part = cols
             if len(key):
                 over = None
                 cuts = np.flatnonzero((key[1:] != key[:-1]) | (start[1:] != start[:-1])) + 1
@@ -250,7 +260,7 @@ def _search(filed: DataFrame, ring: Ring, length: int) -> DataFrame:
                 sizes = np.diff(at)[:-1]
                 for i in np.flatnonzero(sizes > 1).tolist():
                     s = slice(at[i], at[i + 1])
-                    bucket(int(start[s.start]), fp[s].view(np.uint64), home[s])
+                    yield from bucket(int(start[s.start]), fp[s].view(np.uint64), home[s], *(c[s] for c in part))
                 if len(key) - at[-2] > BUCKET and not last:
                     over = int(start[-1]), int(key[-1])
                     out.extend((x, None, over[0]) for x in fp[at[-2] :].view(np.uint64).tolist())
@@ -259,8 +269,8 @@ def _search(filed: DataFrame, ring: Ring, length: int) -> DataFrame:
             yield _rows(out)
             out.clear()
         if held:
-            start, _, fp, home = held[0]
-            bucket(int(start[0]), fp.view(np.uint64), home)
+            start, _, fp, home, *part = held[0]
+            yield from bucket(int(start[0]), fp.view(np.uint64), home, *part)
         yield _rows(out)
 
     near = filed.repartition("start", "key").sortWithinPartitions("start", "key", "fp")
@@ -276,6 +286,8 @@ def _rows(rows: list[tuple[int, int | None, int]]) -> pa.RecordBatch:
 def links(fps: DataFrame, distance: int = 2, segments: int = 5, length: int = 2) -> DataFrame:
     """Rows (a, b) of the distinct fingerprints ``fp`` that join all that lie within ``distance``.
 
+    Where the fingerprints have a ``part``: all rows that lie within it, of different parts.
+
     ``segments`` of the ring, of which the first ``length`` of a chain are the bucket's key.
     """
     ship(fps.sparkSession)
@@ -290,17 +302,18 @@ def links(fps: DataFrame, distance: int = 2, segments: int = 5, length: int = 2)
             return out
         length += 1
         members = rest.select(F.col("a").alias("fp"), "start").distinct()
+        members = members.join(fps, "fp") if "part" in fps.columns else members
         filed = _filed_from(members, ring, length)
 
 
 def _filed_from(members: DataFrame, ring: Ring, length: int) -> DataFrame:
     """Like ``_filed`` for the chains that begin at the members' own starts."""
-    out = None
+    out, parts = None, [c for c in members.columns if c == "part"]
     for s in range(ring.segments):
         own = F.col("fp").bitwiseAND(F.lit(signed(ring.mask(s, length))))
         flips = F.array(*[F.lit(signed(d)) for d in ring.flips(s, length)])
-        filed = members.where(F.col("start") == s).select("start", "fp", F.explode(flips).alias("d"))
-        filed = filed.select("start", own.bitwiseXOR(F.col("d")).alias("key"), "fp", (F.col("d") == 0).alias("home"))
+        filed = members.where(F.col("start") == s).select("start", "fp", *parts, F.explode(flips).alias("d"))
+        filed = filed.select("start", own.bitwiseXOR(F.col("d")).alias("key"), "fp", (F.col("d") == 0).alias("home"), *parts)
         out = filed if out is None else out.unionAll(filed)
     return out
 
@@ -391,6 +404,21 @@ def _apart(x: str, y: str, similarity: float) -> Column:
     return (F.col(f"{x}.part") != F.col(f"{y}.part")) & (small >= F.lit(similarity) * large)
 
 
+def _open(parted: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows (fp, part): the fingerprints that ``joined`` joins to one of another part; one with nodes of several parts has its own."""
+    spread = staged(parted.groupBy("fp").agg(F.min("part").alias("lo"), F.max("part").alias("hi")), "spread")
+    reach = staged(components(joined).withColumnRenamed("node", "fp").join(spread, "fp"), "reach")
+    roots = staged(reach.groupBy("root").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l != h").select("root"), "roots")
+    return reach.join(roots, "root").select("fp", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.xxhash64("fp")).alias("part"))
+
+
+def _across(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) of linked fingerprints' nodes of different parts."""
+    one, other = (nodes.select(F.col("fp").alias(f), F.struct("node", "size", "part").alias(c)) for f, c in (("a", "x"), ("b", "y")))
+    found = pairs.join(one, "a").join(other, "b").where(_apart("x", "y", similarity))
+    return found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def _within(nodes: DataFrame, similarity: float) -> DataFrame:
     """The links (a, b) of one fingerprint's nodes of different parts."""
     x, y = nodes.alias("x"), nodes.alias("y")
@@ -408,7 +436,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     Texts with one set of shingles are one node. A fingerprint's nodes are first held
     against its least one, and the least ones of linked fingerprints against each
-    other; then the nodes of one fingerprint that are still apart, pair by pair.
+    other over a spanning forest; then all that are still apart, of one fingerprint or
+    of two within ``distance``, pair by pair, so no copy is lost to a link that failed.
     """
     held = [f"_c{i}" for i in range(len(df.columns))]
     names = dict(zip(df.columns, held, strict=True))
@@ -424,6 +453,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     good = check(across.unionAll(star))
     parted = _parted(nodes, good)
     mixed = parted.groupBy("fp").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("fp")
-    good = good.unionAll(check(_within(staged(parted.join(mixed, "fp"), "mixed"), similarity)))
+    near = links(staged(_open(parted, joined), "open"), distance, segments, length)
+    near = staged(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    good = good.unionAll(check(_within(staged(parted.join(mixed, "fp"), "mixed"), similarity).unionAll(_across(parted, near, similarity))))
     gone = clustered(printed.select("id", F.col("node").alias("fp")), good).where("NOT (id <=> component)").select(F.col("id").alias("_gone")).distinct()
     return plain.join(gone, plain[names[id_col]] == gone["_gone"], "left_anti").toDF(*df.columns)

@@ -125,3 +125,20 @@ def test_texts_of_one_fingerprint_are_verified(spark):
     fps = {r["fp"] for r in simhash.fingerprinted(spark.createDataFrame(rows, SCHEMA), k=1, distinct=True).collect()}
     assert len(fps) == 1
     assert {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(6))
+
+
+def test_links_that_fail_hide_no_copies(spark):
+    rng = random.Random(13)
+    fp = lambda ws: int(simhash.fingerprints([*{xxhash.xxh64_intdigest(w.encode(), 42) for w in ws}], [len(set(ws))])[0])
+    rows, n = [], 0
+    while n < 8:
+        a = prose(rng, 200).split()
+        new = prose(rng, 12).split()
+        b = [*a, *new[:6]]
+        rng.shuffle(b)  # between a and c by its words, but with shingles of its own
+        x, y, z = fp(a), fp(b), fp([*a, *new])
+        if 0 < max((x ^ y).bit_count(), (y ^ z).bit_count()) < (x ^ z).bit_count() <= 7 and len({x, y, z}) == 3:
+            rows += [(10 * n + i, " ".join(t), None, None, None) for i, t in enumerate((a, b, [*a, *new]))]
+            n += 1
+    left = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert left == {10 * i + j for i in range(8) for j in (0, 1)}

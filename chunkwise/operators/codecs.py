@@ -6,6 +6,7 @@ import zlib
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 
 from chunkwise import constants as C
 from chunkwise.operators import bytelz
@@ -15,11 +16,22 @@ class UnsupportedCodec(ValueError):
     """A codec id that isn't known."""
 
 
+# Fixed values of the LZ4 frame format: its mark, the descriptor of independent blocks of 4 MB with a declared size.
+LZ4_MAGIC, LZ4_DESCRIPTOR, LZ4_BLOCK = bytes.fromhex("04224d18"), b"\x68\x70", 4 << 20
+
+
 @lru_cache
 def _arrow(name: str) -> pa.Codec:
     return pa.Codec(name)
 
 
+@lru_cache
+def _zstd(level: int):
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=level)
+
+
 def compress(codec: int, level: int, data: bytes, room: int) -> bytes | None:
     """The compressed bytes, or None where the codec declines or needs over ``room`` bytes."""
     if codec == C.BYTELZ:
@@ -31,9 +43,7 @@ def compress(codec: int, level: int, data: bytes, room: int) -> bytes | None:
     elif codec == C.ZLIB:
         out = zlib.compress(data, level)
     elif codec == C.ZSTD:
-        import zstandard
-
-        out = zstandard.ZstdCompressor(level=level).compress(data)
+        out = _zstd(level).compress(data)
     else:
         raise UnsupportedCodec(codec)
     return out if len(out) <= room else None
@@ -47,9 +57,7 @@ def decompress(codec: int, data: bytes, size: int) -> bytes | None:
         if codec == C.BYTELZ:
             return bytelz.decompress(data, size)
         if codec in (C.LZ4, C.LZ4HC):
-            out = _arrow("lz4_raw").decompress(data, size, asbytes=True)
-            if _fits_in_less(data, size):
-                return None
+            out = _lz4(data, size)
         elif codec == C.SNAPPY:
             if _snappy_size(data) != size:
                 return None
@@ -63,16 +71,21 @@ def decompress(codec: int, data: bytes, size: int) -> bytes | None:
             out = zstandard.ZstdDecompressor().decompress(data, max_output_size=max(size, 1))
     except Exception:  # every library has its own errors for broken data
         return None
-    return out if len(out) == size else None
+    return out if out is not None and len(out) == size else None
 
 
-def _fits_in_less(data: bytes, size: int) -> bool:
-    """The library doesn't tell how much an LZ4 block gave; one that fits into a byte less gave too little."""
-    try:
+def _lz4(data: bytes, size: int) -> bytes | None:
+    """The bytes of an LZ4 block. The library doesn't tell how many a block gave, but holds a frame to the size it declares."""
+    if 0 < size <= LZ4_BLOCK:
+        declared = LZ4_DESCRIPTOR + size.to_bytes(8, "little")
+        check = bytes([xxhash.xxh32_intdigest(declared) >> 8 & 255])
+        return _arrow("lz4").decompress(b"".join((LZ4_MAGIC, declared, check, len(data).to_bytes(4, "little"), data, bytes(4))), size, asbytes=True)
+    out = _arrow("lz4_raw").decompress(data, size, asbytes=True)
+    try:  # one that fits into a byte less gave too little
         _arrow("lz4_raw").decompress(data, size - 1)
     except (OSError, ValueError):
-        return False
-    return size > 0
+        return out
+    return None
 
 
 def _snappy_size(data: bytes) -> int:

@@ -105,6 +105,13 @@ def packed(values: Column, kind: T.DataType, params: CParams) -> Column:
     return encode(values)
 
 
+def _lists(values: list[pa.Array | None], kind: pa.DataType) -> pa.Array:
+    at = np.cumsum([0, *(0 if x is None else len(x) for x in values)]).astype(np.int32)
+    whole = [x for x in values if x is not None]
+    mask = pa.array([x is None for x in values], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(at), pa.concat_arrays(whole) if whole else pa.array([], kind), mask=mask)
+
+
 def unpacked(frame: Column, n: Column, kind: T.DataType, validity: Column | None = None, offsets: Column | None = None) -> Column:
     """The array column of a chunk's frames."""
     arrow = to_arrow_type(kind)
@@ -114,23 +121,24 @@ def unpacked(frame: Column, n: Column, kind: T.DataType, validity: Column | None
     @F.arrow_udf(T.ArrayType(kind))
     def decode(data: pa.Array, n: pa.Array, validity: pa.Array, offsets: pa.Array) -> pa.Array:
         lists = [_values(frames.decode(d.as_py()), arrow, k.as_py(), v.as_py(), o.as_py()) if d.is_valid else None for d, k, v, o in zip(data, n, validity, offsets, strict=True)]
-        at = np.cumsum([0, *(0 if x is None else len(x) for x in lists)]).astype(np.int32)
-        whole = [x for x in lists if x is not None]
-        mask = pa.array([x is None for x in lists], pa.bool_())
-        return pa.ListArray.from_arrays(pa.array(at), pa.concat_arrays(whole) if whole else pa.array([], arrow), mask=mask)
+        return _lists(lists, arrow)
 
     none = F.lit(None).cast("binary")
     return decode(frame, n, none if validity is None else validity, none if offsets is None else offsets)
 
 
 def pack(df: DataFrame, place: str, value: str, params: CParams | None = None, items: int = ITEMS) -> DataFrame:
-    """The chunks of a column; ``place`` numbers its rows without gaps, from 0.
+    """The chunks of a column; ``place`` numbers its rows without gaps or repetition, else the query fails.
 
     Rows meet by chunk, so a task holds single chunks of ``items`` rows whatever the table's size.
     """
     params = params or CParams()
     rows = df.select(F.floor(F.col(place) / items).alias("chunk_id"), F.struct(F.col(place).alias("p"), F.col(value).alias("v")).alias("_x"))
     chunks = rows.groupBy("chunk_id").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    places, first = F.transform("_x", lambda x: x["p"].cast("long")), F.col("_x")[0]["p"].cast("long")
+    dense = places == F.sequence(first, first + F.size("_x") - 1)
+    wrong = F.raise_error(F.concat(F.lit("places have gaps or repeat in chunk "), F.col("chunk_id").cast("string"))).cast(chunks.schema["_x"].dataType)
+    chunks = chunks.withColumn("_x", F.when(dense, F.col("_x")).otherwise(wrong))
     done = packed(F.transform("_x", lambda x: x["v"]), df.schema[value].dataType, params)
     out = chunks.select("chunk_id", F.col("_x")[0]["p"].alias("first"), F.size("_x").cast("long").alias("n"), done.alias("_f"))
     return out.select("chunk_id", "first", "n", "_f.*")
@@ -161,7 +169,7 @@ def unpack_range(chunks: DataFrame, kind: T.DataType, start: int, count: int) ->
 
     @F.arrow_udf(T.ArrayType(kind))
     def typed(data: pa.Array, n: pa.Array) -> pa.Array:
-        return pa.array([_values(d.as_py(), arrow, k.as_py(), None, None).to_pylist() if d.is_valid else None for d, k in zip(data, n, strict=True)], pa.list_(arrow))
+        return _lists([_values(d.as_py(), arrow, k.as_py(), None, None) if d.is_valid else None for d, k in zip(data, n, strict=True)], arrow)
 
     some = plain.select((F.col("first") + F.col("_lo")).alias("_at"), typed(get_items(F.col("frame"), F.col("_lo"), F.col("_n")), F.col("_n")).alias("_v"))
     some = some.select("_at", F.posexplode("_v").alias("_i", "v")).select((F.col("_at") + F.col("_i")).alias("elem_idx"), "v")

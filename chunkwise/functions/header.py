@@ -76,6 +76,32 @@ def header(frame: Column) -> Column:
     return F.when(long_enough, F.struct(*[c.alias(name) for name, c in fields.items()]))
 
 
+def outcome(frame: Column, h: Column) -> Column:
+    """What reading a frame with header ``h`` would say, as far as header and index tell."""
+    length = F.when(h["is_v1"], C.HEADER_V1).otherwise(C.HEADER_V2).cast("long")
+    whole = h["version"].isin(*C.KNOWN_VERSIONS) & h["cbytes"].between(length, F.octet_length(frame)) & (h["nbytes"] <= C.MAX_BUFFER) & ((h["nbytes"] == 0) | (h["blocksize"] > 0))
+    strange = F.coalesce(F.exists(h["filters"], lambda f: ~f.isin(C.NOFILTER, C.SHUFFLE, C.BITSHUFFLE)), F.lit(False))
+    end = length + 4 * h["nblocks"]
+    starts = block_starts(frame, h)
+    return (
+        F.when(h.isNull() | ~whole, C.INVALID_HEADER)
+        .when(strange, C.FAILED)
+        .when(h["memcpyed"], F.when(length + h["nbytes"] > h["cbytes"], C.FAILED).otherwise(C.OK))
+        .when(h["nbytes"] == 0, C.OK)
+        .when(~h["compcode"].isin(*C.CODEC_NAMES), C.UNSUPPORTED_CODEC)
+        .when((end > h["cbytes"]) | F.exists(starts, lambda s: (s < end) | (s >= h["cbytes"])), C.FAILED)
+        .otherwise(C.OK)
+    )
+
+
+def block_starts(frame: Column, h: Column) -> Column:
+    """Where the blocks of a compressed frame begin; null where the index doesn't fit into it."""
+    length = F.when(h["is_v1"], C.HEADER_V1).otherwise(C.HEADER_V2).cast("long")
+    fits = ~h["memcpyed"] & (h["nblocks"] > 0) & (F.octet_length(frame) >= length + 4 * h["nblocks"])
+    last = F.when(fits, h["nblocks"] - 1).otherwise(0).cast("long")
+    return F.when(fits, F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: uint32(frame, length + i * 4)))
+
+
 def header_bytes(version: int, codec: str, typesize: Column, flags: Column, nbytes: Column, blocksize: Column, cbytes: Column, filter_id: Column | None = None) -> Column:
     """A header, built from its fields."""
 

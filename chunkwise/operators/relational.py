@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chunkwise import constants as C
 from chunkwise._ship import ship
-from chunkwise.functions.header import byte, header, int32, uint32
+from chunkwise.functions.header import block_starts, byte, header, int32, outcome
 from chunkwise.operators import codecs, filters
 
 
@@ -23,29 +23,36 @@ def headers(chunks: DataFrame, frame: str = "frame") -> DataFrame:
 
 
 def blocks(chunks: DataFrame, frame: str = "frame") -> DataFrame:
-    """A row for each block of every compressed frame: where it begins and what it holds.
+    """A row for each block of every frame: where it begins and what it holds.
 
-    Adds block_idx, bstart, block_cbytes, block_nbytes, leftover, nstreams, neblock.
+    Adds status, block_idx, bstart, block_cbytes, block_nbytes, leftover, nstreams, neblock. A
+    stored frame is one block of its bytes as they are. A frame that can't be read, or holds
+    nothing, is one row without a block, whose status tells which.
     """
-    f = F.col(frame)
+    f, h = F.col(frame), F.col("_h")
     rest = [c for c in chunks.columns if c != frame]
-    length = F.when(byte(f, 0).isin(*C.EXTENDED_VERSIONS), C.HEADER_V2).otherwise(C.HEADER_V1)
-    read = chunks.select(*rest, f.alias("_f"), header(f).alias("_h"), length.alias("_len"))
-    whole = read.where(~F.col("_h.memcpyed") & (F.col("_h.nblocks") > 0) & (F.octet_length("_f") >= F.col("_len") + 4 * F.col("_h.nblocks")))
-    starts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_h.nblocks") - 1), lambda i: uint32(F.col("_f"), F.col("_len") + i * 4))
-    indexed = whole.withColumn("_starts", starts).select("*", F.posexplode("_starts").alias("block_idx", "bstart"))
+    read = chunks.select(*rest, f.alias("_f"), header(f).alias("_h"))
+    f = F.col("_f")
+    read = read.withColumn("status", outcome(f, h))
+    length = F.when(h["is_v1"], C.HEADER_V1).otherwise(C.HEADER_V2).cast("long")
+    starts = F.when((F.col("status") == C.OK) & (h["nbytes"] > 0), F.when(h["memcpyed"], F.array(length)).otherwise(block_starts(f, h)))
+    indexed = read.withColumn("_starts", starts).select("*", F.posexplode_outer("_starts").alias("block_idx", "bstart"))
     # blocks may be stored in any order: a block ends where the next one in the frame begins
     after = F.array_min(F.filter("_starts", lambda s: s > F.col("bstart")))
-    nbytes = F.least(F.col("_h.blocksize"), F.col("_h.nbytes") - F.col("block_idx") * F.col("_h.blocksize"))
-    out = indexed.withColumns({"block_cbytes": F.coalesce(after, F.col("_h.cbytes")) - F.col("bstart"), "block_nbytes": nbytes})
-    short = F.col("block_nbytes") < F.col("_h.blocksize")
-    count = F.when(F.col("_h.dont_split") | short, 1).otherwise(F.greatest(F.col("_h.typesize"), F.lit(1)))
-    out = out.withColumns({"leftover": short, "nstreams": count}).withColumn("neblock", F.floor(F.col("block_nbytes") / F.col("nstreams")).cast("int"))
-    return out.select(*rest, "block_idx", "bstart", "block_cbytes", "block_nbytes", "leftover", "nstreams", "neblock", F.col("_f").alias(frame), F.col("_h").alias("header"))
+    cut = F.least(h["blocksize"], h["nbytes"] - F.col("block_idx") * h["blocksize"])
+    out = indexed.withColumns({"block_cbytes": F.coalesce(after, h["cbytes"]) - F.col("bstart"), "block_nbytes": F.when(F.col("bstart").isNotNull(), F.when(h["memcpyed"], h["nbytes"]).otherwise(cut))})
+    short = ~h["memcpyed"] & (F.col("block_nbytes") < h["blocksize"])
+    count = F.when(h["dont_split"] | h["memcpyed"] | short, 1).otherwise(F.greatest(h["typesize"], F.lit(1)))
+    out = out.withColumns({"leftover": F.when(F.col("bstart").isNotNull(), short), "nstreams": F.when(F.col("bstart").isNotNull(), count)})
+    out = out.withColumn("neblock", F.floor(F.col("block_nbytes") / F.col("nstreams")).cast("int"))
+    return out.select(*rest, "status", "block_idx", "bstart", "block_cbytes", "block_nbytes", "leftover", "nstreams", "neblock", F.col("_f").alias(frame), h.alias("header"))
 
 
 def streams(block_rows: DataFrame, frame: str = "frame") -> DataFrame:
-    """A row for each stream of every block: adds stream_idx, size_field, kind, payload."""
+    """A row for each stream of every block: adds stream_idx, size_field, kind, payload.
+
+    The bytes of a stored frame are one stream without a size field; rows without a block stay as they are.
+    """
     f = F.col(frame)
     start = F.struct(F.col("bstart").alias("at"), F.array().cast("array<struct<at:bigint,size_field:bigint>>").alias("found"))
 
@@ -54,17 +61,21 @@ def streams(block_rows: DataFrame, frame: str = "frame") -> DataFrame:
         length = F.when(field > 0, field).when(field < 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
         return F.struct((state["at"] + 4 + length).alias("at"), F.concat(state["found"], F.array(F.struct(state["at"].alias("at"), field.alias("size_field")))).alias("found"))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.col("nstreams")), start, step, lambda s: s["found"])
+    stored = F.col("header.memcpyed")
+    whole = F.array(F.struct((F.col("bstart") - 4).alias("at"), F.lit(None).cast("long").alias("size_field")))
+    found = F.when(stored, whole).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("nstreams")), start, step, lambda s: s["found"]))
+    found = F.when(F.col("bstart").isNotNull(), found)
     rest = [c for c in block_rows.columns if c not in (frame, "header")]
-    out = block_rows.select(*rest, f.alias("_f"), "header", F.posexplode(found).alias("stream_idx", "_s"))
+    out = block_rows.select(*rest, f.alias("_f"), "header", F.posexplode_outer(found).alias("stream_idx", "_s"))
     field = F.col("_s.size_field")
-    kind = F.when(field == 0, "zeros").when(field < 0, "run").when(field == F.col("neblock"), "raw").otherwise("codec")
-    payload = F.substring(F.col("_f"), (F.col("_s.at") + 5).cast("int"), F.when(field > 0, field).when(field < 0, 1).otherwise(0).cast("int"))
+    kind = F.when(F.col("bstart").isNull(), None).when(stored, "stored").when(field == 0, "zeros").when(field < 0, "run").when(field == F.col("neblock"), "raw").otherwise("codec")
+    length = F.when(stored, F.col("block_nbytes")).when(field > 0, field).when(field < 0, 1).otherwise(0)
+    payload = F.substring(F.col("_f"), (F.col("_s.at") + 5).cast("int"), length.cast("int"))
     return out.select(*rest, "stream_idx", field.cast("int").alias("size_field"), kind.alias("kind"), payload.alias("payload"), "header")
 
 
 def decoded_blocks(stream_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The streams' blocks, put together again and unfiltered: rows (keys, block_idx, data)."""
+    """The streams' blocks, put together again and unfiltered: rows (keys, block_idx, data, status); broken ones have no data."""
 
     ship()
 
@@ -83,18 +94,21 @@ def decoded_blocks(stream_rows: DataFrame, keys: list[str]) -> DataFrame:
     data = F.coalesce(
         F.when(F.col("kind") == "zeros", F.unhex(F.repeat(F.lit("00"), n))),
         F.when((F.col("kind") == "run") & (byte(F.col("payload"), 0) % 2 == 1), F.unhex(F.repeat(fill, n))),
-        F.when(F.col("kind") == "raw", F.col("payload")),
+        F.when(F.col("kind").isin("raw", "stored"), F.col("payload")),
         expand(F.when(F.col("kind") == "codec", F.col("payload")), F.col("header.compcode"), n),
     )
-    which = F.when(F.col("header.doshuffle") & (F.col("header.typesize") > 1), C.SHUFFLE).when(F.col("header.dobitshuffle"), C.BITSHUFFLE).otherwise(C.NOFILTER)
+    which = F.when(F.col("header.memcpyed"), C.NOFILTER).when(F.col("header.doshuffle") & (F.col("header.typesize") > 1), C.SHUFFLE).when(F.col("header.dobitshuffle"), C.BITSHUFFLE).otherwise(C.NOFILTER)
     # a block has one stream for each byte of an item at most
     parts = stream_rows.withColumn("_d", data).groupBy(*keys, "block_idx").agg(
         F.array_sort(F.collect_list(F.struct("stream_idx", "_d"))).alias("_parts"),
         F.first(which).alias("_which"),
         F.first("header.typesize").alias("_typesize"),
+        F.first("status").alias("_status"),
     )
-    digits = F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(p["_d"])), ""))
-    return parts.select(*keys, "block_idx", unfilter(digits, F.col("_which"), F.col("_typesize")).alias("data"))
+    whole = ~F.exists("_parts", lambda p: p["_d"].isNull())
+    digits = F.when(whole, F.unhex(F.array_join(F.transform("_parts", lambda p: F.hex(p["_d"])), "")))
+    data = unfilter(digits, F.col("_which"), F.col("_typesize"))
+    return parts.select(*keys, "block_idx", data.alias("data"), F.when(whole | F.col("block_idx").isNull(), F.col("_status")).otherwise(C.FAILED).alias("status"))
 
 
 def library_info(names: DataFrame, name: str = "name") -> DataFrame:

@@ -38,8 +38,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and the executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder that the driver and the executors share; a machine's own will do where there is one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir()
     return f"{shared.rstrip('/')}/framed-{os.getpid()}-{uuid.uuid4().hex}"
 
 
@@ -183,11 +188,14 @@ def getitem_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select((F.col("first") + F.col("n") - 1).alias("event_id"), pack.unpacked(compress(item, CParams()), F.lit(1).cast("long"), DOUBLE)[0].alias("value"))
 
 
-@query("getitem_bytes", "SELECT doc_id, hex(encode(substr(text, 1, 40)))[9:24] AS items FROM documents WHERE strlen(text) = length(text) AND length(text) >= 40")
+_ENCODED = "hex(encode(coalesce(text, '')))"
+
+
+@query("getitem_bytes", f"SELECT doc_id, CASE WHEN length({_ENCODED}) >= 24 THEN {_ENCODED}[9:24] END AS items FROM documents")
 def getitem_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items 1 and 2 of four bytes."""
-    docs = table(spark, sf_dir, "documents").where("octet_length(text) = length(text) AND length(text) >= 40")
-    return docs.select("doc_id", F.hex(get_items(compress(F.col("text"), CParams(typesize=4, filter="shuffle")), 1, 2)).alias("items"))
+    """Items 1 and 2 of four bytes; null where a text has fewer."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(get_items(compress(text, CParams(typesize=4, filter="shuffle")), 1, 2)).alias("items"))
 
 
 @query("getitem_out_of_range", "SELECT doc_id, NULL::VARCHAR AS items FROM documents")
@@ -442,12 +450,22 @@ def block_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk_id", F.col("block_idx").cast("long").alias("block_idx"), "block_nbytes", "leftover", "nstreams", ((F.col("bstart") >= 32) & (F.col("block_cbytes") > 0)).alias("in_order"))
 
 
-@query("stream_split", "WITH c AS (SELECT event_id // 1024 AS chunk_id, count(*) * 8 AS nbytes FROM events GROUP BY 1) SELECT chunk_id, unnest(range(8)) AS stream_idx, nbytes // 8 AS neblock, 'codec' AS kind, true AS filled FROM c WHERE nbytes = 8192")
+@query("stream_split", """
+    WITH c AS (SELECT event_id // 1024 AS chunk_id, count(*) * 8 AS nbytes FROM events GROUP BY 1),
+    s AS (SELECT *, CASE WHEN nbytes = 8192 THEN 8 ELSE 1 END AS n FROM c)
+    SELECT chunk_id, unnest(range(n)) AS stream_idx, nbytes // n AS neblock, true AS filled FROM s
+""")
 def stream_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole blocks of shuffled longs are cut into eight streams."""
+    """Whole blocks of shuffled longs are cut into eight streams; the shorter last one isn't."""
     ids = pack.pack(table(spark, sf_dir, "events"), "event_id", "event_id", CParams("zstd", 5, filter="shuffle"), 1024)
-    rows = relational.streams(relational.blocks(ids)).where("block_nbytes = 8192")
-    return rows.select("chunk_id", F.col("stream_idx").cast("long").alias("stream_idx"), F.col("neblock").cast("long").alias("neblock"), "kind", (F.octet_length("payload") == F.col("size_field")).alias("filled"))
+    chunks = ids.withColumn("frame", F.when(F.col("n") == 1024, F.col("frame")).otherwise(_short_block(F.col("frame"))))
+    rows = relational.streams(relational.blocks(chunks))
+    return rows.select("chunk_id", F.col("stream_idx").cast("long").alias("stream_idx"), F.col("neblock").cast("long").alias("neblock"), (F.octet_length("payload") == F.coalesce("size_field", "block_nbytes")).alias("filled"))
+
+
+def _short_block(frame: Column) -> Column:
+    """The frame with the block size of a whole chunk, as where it is the last of several."""
+    return F.concat(F.substring(frame, 1, 8), F.unhex(F.lit("00200000")), F.substring(frame, 13, 2**30))
 
 
 @query("relational_decode", "SELECT event_id // 10000 AS chunk_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, sum(event_id)::BIGINT AS total FROM events GROUP BY 1")
@@ -459,6 +477,34 @@ def relational_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first_id"), F.max("v").alias("last_id"), F.sum("v").alias("total"))
 
 
+_DIGESTS = "upper(md5(c_custkey::VARCHAR) || md5((c_custkey + 1)::VARCHAR) || md5((c_custkey + 2)::VARCHAR))"
+
+
+def _digest_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A frame of 48 bytes that no codec shrinks for each customer, which is stored as it is."""
+    digests = F.unhex(F.concat(*[F.md5((F.col("c_custkey") + i).cast("string").cast("binary")) for i in range(3)]))
+    return table(spark, sf_dir, "customer").select("c_custkey", compress(digests, CParams("zstd", typesize=8, filter="shuffle")).alias("frame"))
+
+
+@query("relational_stored", f"SELECT c_custkey, 0 AS block_idx, {_DIGESTS} AS data, 'ok' AS status FROM customer")
+def relational_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored frames as tables: one block, and its bytes as they are."""
+    parts = relational.decoded_blocks(relational.streams(relational.blocks(_digest_frames(spark, sf_dir))), ["c_custkey"])
+    return parts.select("c_custkey", F.col("block_idx").cast("long").alias("block_idx"), F.hex("data").alias("data"), "status")
+
+
+@query("relational_broken", "SELECT c_custkey, NULL::BIGINT AS block_idx, NULL::VARCHAR AS data, CASE c_custkey % 4 WHEN 0 THEN 'invalid_header' WHEN 1 THEN 'invalid_header' WHEN 2 THEN 'failed' ELSE 'unsupported_codec' END AS status FROM customer")
+def relational_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken frames as tables: a row each, with the status that reading them gives."""
+    frames = table(spark, sf_dir, "customer").select("c_custkey", compress(F.repeat("c_name", 40), CParams("zstd", typesize=1, filter="none")).alias("frame"))
+    f, kind = F.col("frame"), F.col("c_custkey") % 4
+    broken = F.when(kind == 0, F.substring(f, 1, 40)).when(kind == 1, _with_byte(f, 0, 77)).when(kind == 2, _with_byte(f, 35, 255)).otherwise(_with_byte(f, 22, 9))
+    parts = relational.decoded_blocks(relational.streams(relational.blocks(frames.select("c_custkey", broken.alias("frame")))), ["c_custkey"])
+    told = frames.select("c_custkey", status(broken).alias("read"))
+    rows = parts.join(told, "c_custkey").withColumn("status", F.when(F.col("status") == F.col("read"), F.col("status")).otherwise(F.concat_ws(" but ", "status", "read")))
+    return rows.select("c_custkey", F.col("block_idx").cast("long").alias("block_idx"), F.hex("data").alias("data"), "status")
+
+
 def _handmade(spark: SparkSession, sf_dir: str, size_field: Column, payload: Column, codec: str = "lz4") -> DataFrame:
     """A frame for each nation: one block of 40 bytes with one stream."""
     body = F.concat(F.unhex(F.lit("24000000")), size_field, payload)
@@ -552,10 +598,12 @@ def source_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.where("elem_idx >= 990 AND elem_idx < 1010").select(F.col("elem_idx").alias("event_id"), F.col("v").alias("value"))
 
 
-@query("source_chunks", "SELECT count(*) AS items, count(*) * 8 AS nbytes, true AS smaller FROM events")
+@query("source_chunks", "SELECT event_id // 1000 AS chunk_id, min(event_id) AS first, count(*) AS n, count(*) * 8 AS nbytes, true AS smaller FROM events GROUP BY 1")
 def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk by its number; two tasks may have written parts of one."""
     read = spark.read.format("framed").option("mode", "chunks").load(_written(spark, sf_dir))
-    return read.agg(F.sum("n").alias("items"), F.sum("nbytes").alias("nbytes"), (F.sum("cbytes") < F.sum("nbytes") + 48 * F.count(F.lit(1))).alias("smaller"))
+    smaller = F.sum("cbytes") <= F.sum("nbytes") + 32 * F.count(F.lit(1))
+    return read.groupBy("chunk_id").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.sum("nbytes").alias("nbytes"), smaller.alias("smaller"))
 
 
 # Ratios: they depend on the codec libraries' builds, so there is nothing to hold them against.

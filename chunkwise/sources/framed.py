@@ -1,14 +1,18 @@
 """A data source for files of frames: ``spark.read.format("framed")``.
 
-A file holds the frames of one column one after the other, then an index (JSON: for
-each chunk the place of its first item, its items, where its frames stand and how long
-they are), the index's length and a closing mark; its name tells the range of places in
+A file holds the frames of one column one after the other, then an index (JSON: the
+items of a whole chunk, and for each chunk the place of its first item, its items,
+where its frames stand and how long they are), the index's length and a closing mark; its name tells the range of places in
 it. Predicates on ``elem_idx`` leave out files by their names, which is all the driver
 looks at; each task reads one file's index and leaves out chunks before a byte of them
 is read, and blocks of the chunks that remain.
 
 Tasks write files of at most ``FILE_BYTES`` (and one chunk) under names that no reader
-takes up; the driver gives them their names when the whole write is done.
+takes up; the driver gives them their names, many at a time, when the whole write is
+done. Overwriting takes away what was there before after that, so a reader that comes
+between finds both, never neither.
+
+Paths without a scheme lie in Spark's default file system, as for its own sources.
 
 Options: ``type`` (the column's SQL type, needed to read), and for writing ``items``,
 ``codec``, ``clevel``, ``filter``, ``version``. ``mode`` "values" (default) reads rows
@@ -26,6 +30,7 @@ import json
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import pairwise
 
@@ -37,6 +42,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.pandas.types import to_arrow_type
 
 from chunkwise import constants as C
+from chunkwise._files import default_store, opened, qualified
 from chunkwise._ship import ship
 from chunkwise.operators import frame as frames
 from chunkwise.operators import pack
@@ -47,12 +53,18 @@ MARK = b"FRAMED01"
 FILE_BYTES = 128_000_000
 #: Items of a batch handed to Spark.
 BATCH = 65_536
+#: Files renamed at the same time.
+AT_ONCE = 32
 
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     ship(spark)
-    spark.dataSource.register(Framed)
+
+    class Here(Framed):  # a class of its own, so that what it knows of the session goes with it
+        store = default_store(spark)
+
+    spark.dataSource.register(Here)
 
 
 @dataclass
@@ -61,6 +73,7 @@ class Chunk:
     n: int
     at: int
     lengths: list[int]  # of the frames of values, validity and offsets; 0 where there is none
+    number: int = 0
 
 
 @dataclass
@@ -76,34 +89,33 @@ class Part(InputPartition):
         return [c for c in index_of(self.path, self.size) if c.first < self.hi and c.first + c.n > self.lo]
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    where, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return where, inner
-
-
 def _files(path: str) -> list[tuple[str, int]]:
     from pyarrow import fs
 
-    where, inner = _open(path)
-    scheme = path.partition("://")[0] + "://" if "://" in path else ""
+    where, inner = opened(path)
     found = where.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-    return sorted((scheme + f.path, f.size) for f in found if f.path.endswith(".framed"))
+    return sorted((f"{path.rstrip('/')}/{f.base_name}", f.size) for f in found if f.base_name.endswith(".framed"))
 
 
 def index_of(path: str, size: int) -> list[Chunk]:
     """The index of a file, from its end."""
-    where, inner = _open(path)
+    where, inner = opened(path)
     with where.open_input_file(inner) as f:
         tail = f.read_at(16, size - 16)
         length, mark = struct.unpack("<Q8s", tail)
         if mark != MARK:
             raise ValueError(f"{path} isn't a file of frames")
-        return [Chunk(*c) for c in json.loads(f.read_at(length, size - 16 - length))]
+        index = json.loads(f.read_at(length, size - 16 - length))
+        return [Chunk(*c, c[0] // index["items"]) for c in index["chunks"]]
 
 
 class Framed(DataSource):
+    store = "file:///"
+
+    @property
+    def path(self) -> str:
+        return qualified(self.options["path"], self.store)
+
     @classmethod
     def name(cls) -> str:
         return "framed"
@@ -114,15 +126,15 @@ class Framed(DataSource):
         return f"elem_idx long, v {self.options.get('type', 'double')}"
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return FramedReader(self.options, schema)
+        return FramedReader(self.path, self.options, schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return FramedWriter(self.options, schema, overwrite)
+        return FramedWriter(self.path, self.options, schema, overwrite)
 
 
 class FramedReader(DataSourceReader):
-    def __init__(self, options: dict, schema: T.StructType) -> None:
-        self.options, self.schema = options, schema
+    def __init__(self, path: str, options: dict, schema: T.StructType) -> None:
+        self.path, self.options, self.schema = path, options, schema
         self.lo, self.hi = 0, 2**62  # the items wanted: lo up to, without, hi
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
@@ -145,7 +157,7 @@ class FramedReader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         out = []
-        for path, size in _files(self.options["path"]):
+        for path, size in _files(self.path):
             first, end = map(int, path.rsplit("/", 1)[1].split("-")[:2])
             if first < self.hi and end > self.lo:
                 out.append(Part(path, size, self.lo, self.hi))
@@ -154,14 +166,14 @@ class FramedReader(DataSourceReader):
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        where, inner = _open(partition.path)
+        where, inner = opened(partition.path)
         chunks_only = self.options.get("mode", "values") == "chunks"
         kind = None if chunks_only else to_arrow_type(self.schema["v"].dataType)
         with where.open_input_file(inner) as f:
             for c in partition.chunks():
                 if chunks_only:
                     h = frames.parse_header(f.read_at(C.HEADER_V2, c.at) + bytes(c.lengths[0]))
-                    row = [c.first // max(1, c.n), c.first, c.n, h.nbytes, h.cbytes]
+                    row = [c.number, c.first, c.n, h.nbytes, h.cbytes]
                     yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names=["chunk_id", "first", "n", "nbytes", "cbytes"])
                     continue
                 ends = np.cumsum([0, *c.lengths])
@@ -188,8 +200,8 @@ class Written(WriterCommitMessage):
 class _File:
     """One file that is being written."""
 
-    def __init__(self, root: str, params: CParams, where) -> None:
-        self.params, self.name = params, uuid.uuid4().hex
+    def __init__(self, root: str, params: CParams, items: int, where) -> None:
+        self.params, self.items, self.name = params, items, uuid.uuid4().hex
         self.root, self.out = root, where.open_output_stream(f"{root}/{self.name}.part")
         self.chunks: list[Chunk] = []
         self.at = 0
@@ -201,7 +213,7 @@ class _File:
         self.at += sum(map(len, made))
 
     def close(self) -> tuple[str, str]:
-        index = json.dumps([[c.first, c.n, c.at, c.lengths] for c in self.chunks]).encode()
+        index = json.dumps({"items": self.items, "chunks": [[c.first, c.n, c.at, c.lengths] for c in self.chunks]}).encode()
         self.out.write(index + struct.pack("<Q8s", len(index), MARK))
         self.out.close()
         first, end = min(c.first for c in self.chunks), max(c.first + c.n for c in self.chunks)
@@ -209,22 +221,22 @@ class _File:
 
 
 class FramedWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict, schema: T.StructType, overwrite: bool) -> None:
-        self.options, self.schema = options, schema
-        self.old = [p for p, _ in _files(options["path"])] if overwrite else []
+    def __init__(self, path: str, options: dict, schema: T.StructType, overwrite: bool) -> None:
+        self.path, self.options, self.schema = path, options, schema
+        self.old = [p for p, _ in _files(path)] if overwrite else []
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         o = self.options
         kind = self.schema["v"].dataType
         params = CParams(o.get("codec", C.DEFAULT_CODEC), int(o.get("clevel", C.DEFAULT_CLEVEL)), pack.width_of(kind), o.get("filter", C.EASY_FILTER), int(o.get("version", 2)))
         items = int(o.get("items", pack.ITEMS))
-        where, root = _open(o["path"])
+        where, root = opened(self.path)
         root = root.rstrip("/")
         where.create_dir(root, recursive=True)
         names: list[tuple[str, str]] = []
         file: _File | None = None
         for first, values in _runs(batches, items):
-            file = file or _File(root, params, where)
+            file = file or _File(root, params, items, where)
             file.put(first, values)
             if file.at >= FILE_BYTES:
                 names.append(file.close())
@@ -233,19 +245,19 @@ class FramedWriter(DataSourceArrowWriter):
             names.append(file.close())
         return Written(names)
 
+    def _each(self, work, names: list) -> None:
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            for _ in pool.map(work, names):
+                pass
+
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        where, _ = _open(self.options["path"])
-        for m in messages:
-            for written, final in m.names if m else ():
-                where.move(written, final)
-        for path in self.old:
-            where.delete_file(_open(path)[1])
+        where, _ = opened(self.path)
+        self._each(lambda names: where.move(*names), [n for m in messages if m for n in m.names])
+        self._each(lambda path: where.delete_file(opened(path)[1]), self.old)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        where, _ = _open(self.options["path"])
-        for m in messages:
-            for written, _ in m.names if m else ():
-                where.delete_file(written)
+        where, _ = opened(self.path)
+        self._each(lambda names: where.delete_file(names[0]), [n for m in messages if m for n in m.names])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], items: int) -> Iterator[tuple[int, pa.Array]]:

@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkwise import queries, streaming
+from chunkwise import _files, queries, streaming
+from chunkwise import constants as C
 from chunkwise.functions import compress, decompress, get_items, header, status
-from chunkwise.operators import pack
+from chunkwise.operators import codecs, pack, relational
+from chunkwise.operators import frame as frames
 from chunkwise.operators.frame import CParams
 from chunkwise.sources import framed
 
@@ -103,7 +105,7 @@ def test_predicates_leave_out_chunks(spark, tmp_path):
     framed.register(spark)
     path = str(tmp_path / "f")
     spark.range(1000).select(F.col("id").alias("elem_idx"), (F.col("id") * 0.5).alias("v")).coalesce(1).write.format("framed").option("items", 50).mode("append").save(path)
-    reader = framed.FramedReader({"path": path, "type": "double"}, None)
+    reader = framed.FramedReader(f"file://{path}", {"type": "double"}, None)
     assert sum(len(p.chunks()) for p in reader.partitions()) == 20
     list(reader.pushFilters([framed.GreaterThanOrEqual(("elem_idx",), 120), framed.LessThan(("elem_idx",), 151), framed.GreaterThan(("v",), 1)]))
     assert [(c.first, c.n) for p in reader.partitions() for c in p.chunks()] == [(100, 50), (150, 50)]
@@ -112,6 +114,48 @@ def test_predicates_leave_out_chunks(spark, tmp_path):
     assert not [f for f in os.listdir(path) if f.endswith(".part")]
 
 
+def test_chunks_have_the_numbers_of_their_places(spark, tmp_path):
+    framed.register(spark)
+    path = f"file://{tmp_path}/f"
+    spark.range(2500).select(F.col("id").alias("elem_idx"), F.col("id").alias("v")).coalesce(1).write.format("framed").option("items", 1000).mode("append").save(path)
+    read = spark.read.format("framed").option("mode", "chunks").load(path)
+    assert sorted((r["chunk_id"], r["first"], r["n"]) for r in read.collect()) == [(0, 0, 1000), (1, 1000, 1000), (2, 2000, 500)]
+
+
+def test_paths_name_their_store():
+    assert _files.qualified("/a/b", "hdfs://host:9000") == "hdfs://host:9000/a/b"
+    assert _files.qualified("/a/b") == "file:///a/b" and _files.qualified("file:/a/b") == "file:///a/b"
+    assert _files.qualified("s3a://bucket/a") == "s3a://bucket/a" and _files.qualified("hdfs://host/a") == "hdfs://host/a"
+    with pytest.raises(ValueError):
+        _files.qualified("a/b", "hdfs://host:9000")
+
+
+@pytest.mark.parametrize("places", [[0, 5, 9], [0, 0, 2], [0, 1, 1]])
+def test_gaps_are_refused(spark, places):
+    df = spark.createDataFrame([(p, float(p)) for p in places], "p long, v double")
+    with pytest.raises(Exception, match="gaps or repeat"):
+        pack.pack(df, "p", "v").collect()
+
+
+def test_blocks_of_stored_empty_and_broken_frames(spark):
+    noise = os.urandom(100)
+    made = [frames.encode(noise, CParams("zstd")), frames.encode(b"", CParams("zstd")), frames.encode(bytes(5000), CParams("lz4", typesize=4)), b"short", None]
+    df = spark.createDataFrame(list(enumerate(made)), "k int, frame binary")
+    rows = relational.blocks(df)
+    assert {(r["k"], r["status"], r["block_idx"]) for r in rows.collect()} == {(0, "ok", 0), (1, "ok", None), (2, "ok", 0), (3, "invalid_header", None), (4, "invalid_header", None)}
+    got = {r["k"]: (r["data"] and bytes(r["data"]), r["status"]) for r in relational.decoded_blocks(relational.streams(rows), ["k"]).collect()}
+    assert got[0] == (noise, "ok") and got[2] == (bytes(5000), "ok") and {got[i] for i in (3, 4)} == {(None, "invalid_header")}
+
+
+@pytest.mark.parametrize("size", [1, 100, 5 << 20])
+def test_lz4_blocks_must_give_their_size(size):
+    data = (b"abcdefgh" * (size // 8 + 1))[:size]
+    packed = codecs.compress(C.CODECS["lz4"][0], 5, data, 2 * size + 100)
+    assert codecs.decompress(C.CODECS["lz4"][0], packed, size) == data
+    assert codecs.decompress(C.CODECS["lz4"][0], packed, size + 1) is None
+    assert codecs.decompress(C.CODECS["lz4"][0], packed, max(0, size - 1)) is None
+
+
 def test_streaming(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(100).select("id", F.concat(F.lit("text "), F.col("id")).alias("text")).write.parquet(source)

@@ -68,8 +68,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every encoded length of a document: documents, tokens, and tokens left when cut there."""
-    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf_dir, "documents"), tokens.public_byte_bpe()))
+    """Documents, tokens and tokens left when cut there: for every encoded length of a document, every limit and quantile."""
+    return token_counts.report(token_counts.histogram(table(spark, sf_dir, "documents"), tokens.public_byte_bpe()))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,7 +74,8 @@ def test_empty(spark):
     assert packing.pack(df, tokens.public_byte_bpe()).collect() == []
     sums = token_counts.suffix_sums(token_counts.histogram(df, tokens.public_byte_bpe()))
     assert sums.collect() == []
-    assert [tuple(r) for r in token_counts.at_limits(sums, [10]).collect()] == [(10, 0, 0, 0)]
+    assert [tuple(r) for r in token_counts.at_limits(sums, [10]).collect()] == [(10, *[0] * 7)]
+    assert {r["kind"] for r in token_counts.report(token_counts.histogram(df, tokens.public_byte_bpe())).collect()} == {"limit"}
 
 
 def test_fast_encoder_gives_the_tokenizers_ids():
@@ -91,7 +92,10 @@ def test_token_counts_against_brute_force(spark, monkeypatch):
     want = sorted((x, n.count(x), x * n.count(x), sum(y >= x for y in n), sum(y for y in n if y >= x), len(n), sum(n), sum(min(x, y) for y in n)) for x in set(n))
     assert sorted(tuple(r) for r in sums.collect()) == want
     limits = [0, 1, 7, 100, 2048, 10**7]
-    got = [tuple(r) for r in token_counts.at_limits(sums, limits).collect()]
-    assert got == [(x, sum(y > x for y in n), sum(min(x, y) for y in n), sum(n)) for x in limits]
-    for r in token_counts.quantiles(sums, [0.0, 0.5, 0.9, 1.0]).collect():
-        assert r["length"] == min(x for x in n if sum(y <= x for y in n) >= np.ceil(r["share"] * len(n)))
+    at = lambda x: (x, n.count(x), x * n.count(x), sum(y >= x for y in n), sum(y for y in n if y >= x), len(n), sum(n), sum(min(x, y) for y in n))
+    assert [tuple(r) for r in token_counts.at_limits(sums, limits).collect()] == [at(x) for x in limits]
+    shares = [0.0, 0.5, 0.9, 1.0]
+    of = lambda share: min(x for x in n if sum(y <= x for y in n) >= np.ceil(share * len(n)))
+    assert [tuple(r) for r in token_counts.quantiles(sums, shares).collect()] == [(s, *at(of(s))) for s in shares]
+    every = {tuple(r) for r in token_counts.report(token_counts.histogram(spark.createDataFrame(rows, SCHEMA), tokens.public_byte_bpe()), limits, shares).collect()}
+    assert every == {("length", None, *w) for w in want} | {("limit", None, *at(x)) for x in limits} | {("quantile", s, *at(of(s))) for s in shares}

@@ -7,8 +7,12 @@ bounded size. An archive is a ZIP file with stored members: ``archive/data.warc.
 written as a response, the others as revisits that refer to it.
 
 Reading: the end of the file gives the central directory, through the ZIP64 records
-where they stand, the directory gives the members, the index gives the records, and
-records are read by ranges of the WARC member. Nothing is extracted.
+where they stand, the directory gives the members: all of ``archive/`` that are WARC
+files, compressed or not, and all indexes of ``indexes/``, plain, gzipped or deflated.
+The indexes give the records, which are read by ranges of the stored WARC members; a
+WARC member that no index speaks of is read from record to record. Nothing is extracted.
+Archives are dealt to tasks one by one, to as many tasks as there are archives
+(``TASKS`` at most), and files are opened in the store where Spark would look for them.
 
 Which payloads are equal is found by their SHA-1 digests: their least ids are
 aggregated before they are shuffled, and joined back in a way that may split a digest
@@ -16,11 +20,14 @@ held by many pages. Archives are named by the task attempt that wrote them, and
 list of archives is written to the shared folder once, so that repeated tasks leave
 unlisted files behind and nothing else.
 
-Defined results: a null payload counts as empty; a null id sorts after all others
-(a page without id refers to the smallest id of its payload; if no page of a payload
-has an id all are responses); rows that tie on payload and smallest id are all
-responses; a null URL is written as the record's own name; an empty table gives no
-archive and an empty result; other columns are left out.
+Defined results: a null payload counts as empty; a very long payload is one record,
+alone in its archive if it is larger than one, and held in memory by one task; a null id
+sorts after all others (a page without id refers to the smallest id of its payload; if
+no page of a payload has an id all are responses); rows that tie on payload and smallest
+id are all responses; a null URL is written as the record's own name; an empty table
+gives no archive and an empty result; other columns are left out, whatever they are
+called. Of archives made elsewhere records of other types than response, revisit and
+resource are left out, and records that aren't named like pages have a null page id.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ import json
 import struct
 import uuid
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -41,6 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chunkwise._files import default_store, opened, qualified
 from chunkwise.llm._common import ship, staged, staged_path
 
 #: Bytes of compressed records in one archive, and records, at most (one larger record may exceed the bytes).
@@ -48,8 +57,13 @@ ARCHIVE_BYTES = 64_000_000
 ARCHIVE_RECORDS = 50_000
 #: Records closer than this are read together, up to READ bytes at a time.
 GAP, READ = 64_000, 8_000_000
+#: Tasks that archives are dealt to, at most.
+TASKS = 100_000
 
 WARC, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdx", "datapackage.json"
+#: Folders of an archive's members, and how the members are called that are read.
+ARCHIVES, INDEXES = "archive/", "indexes/"
+WARCS, CDX = (".warc", ".warc.gz"), (".cdx", ".cdxj", ".cdx.gz", ".cdxj.gz")
 DATE = "2000-01-01T00:00:00Z"
 ID = "urn:page:"
 
@@ -70,7 +84,7 @@ class BadArchive(ValueError):
 class Member:
     name: str
     method: int
-    size: int
+    size: int  # of its bytes in the file
     header: int  # where its local header stands
 
 
@@ -142,9 +156,7 @@ def _extra(extra: bytes, wanted: int) -> bytes:
 
 
 def data_at(read: Reader, member: Member) -> int:
-    """Where the bytes of a stored member begin."""
-    if member.method != zipfile.ZIP_STORED:
-        raise BadArchive(f"{member.name} isn't stored")
+    """Where the bytes of a member begin."""
     fields = struct.unpack(LOCAL_LAYOUT, read(member.header, struct.calcsize(LOCAL_LAYOUT)))
     if fields[0] != LOCAL:
         raise BadArchive(f"no local header of {member.name}")
@@ -171,17 +183,20 @@ def record(name: str, url: str, payload: bytes, digest: str, refers_to: str | No
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """The fields of a record, those of its HTTP head, and its payload."""
+    """The fields of a record, those of its HTTP head if it has one, and its payload."""
     head, mark, rest = raw.partition(b"\r\n\r\n")
     version, *lines = head.decode().split("\r\n")
     if not mark or not version.startswith("WARC/"):
         raise BadArchive("not a WARC record")
     fields = _fields(lines)
-    block = rest[: int(fields["content-length"])]
-    if len(block) != int(fields["content-length"]):
+    length = int(fields.get("content-length", -1))
+    block = rest[: max(0, length)]
+    if len(block) != length:
         raise BadArchive("a record is cut short")
+    if fields.get("warc-type") not in ("response", "revisit") or not block.startswith(b"HTTP/"):
+        return fields, {}, block
     http, _, payload = block.partition(b"\r\n\r\n")
-    return fields, _fields(http.decode().split("\r\n")[1:]), payload
+    return fields, _fields(http.decode("latin-1").split("\r\n")[1:]), payload
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
@@ -218,12 +233,47 @@ class ArchiveWriter:
 def records(read: Reader, size: int) -> Iterator[bytes]:
     """All records of an archive, by ranges."""
     found = members(read, size)
-    if missing := {WARC, INDEX} - set(found):
-        raise BadArchive(f"no member {sorted(missing)}")
-    index = found[INDEX]
-    lines = read(data_at(read, index), index.size).decode().splitlines()
-    places = sorted((x["offset"], x["length"]) for x in (json.loads(line.split(" ", 2)[2]) for line in lines))
-    base, end = data_at(read, found[WARC]), found[WARC].size
+    warcs = {n: m for n, m in found.items() if n.startswith(ARCHIVES) and n.lower().endswith(WARCS)}
+    places: dict[str, set[tuple[int, int]]] = {n: set() for n in warcs}
+    for name, member in found.items():
+        if name.startswith(INDEXES) and name.lower().endswith(CDX):
+            for file, offset, length in _indexed(read, member):
+                file = file if file in places else ARCHIVES + file.rsplit("/", 1)[-1]
+                if file not in places:
+                    raise BadArchive(f"{name} speaks of {file}, which isn't there")
+                places[file].add((offset, length))
+    if not warcs:
+        raise BadArchive(f"no WARC member in {ARCHIVES}")
+    for name, member in warcs.items():
+        if member.method != zipfile.ZIP_STORED:
+            raise BadArchive(f"{name} isn't stored")
+        packed, base = name.lower().endswith(".gz"), data_at(read, member)
+        if places[name]:
+            for raw in _ranges(read, base, member.size, sorted(places[name])):
+                yield gzip.decompress(raw) if packed else raw
+        else:
+            yield from _in_turn(read, base, member.size, packed)
+
+
+def _indexed(read: Reader, member: Member) -> Iterator[tuple[str, int, int]]:
+    """(file, offset, length) of an index's lines; each ends with a JSON object."""
+    data = read(data_at(read, member), member.size)
+    if member.method == zipfile.ZIP_DEFLATED:
+        data = zlib.decompress(data, -zlib.MAX_WBITS)
+    elif member.method != zipfile.ZIP_STORED:
+        raise BadArchive(f"{member.name} is packed in a way that isn't read")
+    if member.name.lower().endswith(".gz"):
+        data = gzip.decompress(data)
+    for line in data.decode().splitlines():
+        key, brace, rest = line.partition("{")
+        if not brace or key.startswith("!"):
+            continue  # a head line
+        entry = json.loads(brace + rest)
+        yield entry["filename"], int(entry["offset"]), int(entry["length"])
+
+
+def _ranges(read: Reader, base: int, end: int, places: list[tuple[int, int]]) -> Iterator[bytes]:
+    """The bytes at these places of a member, near ones read together."""
     i = 0
     while i < len(places):
         first, j = places[i][0], i
@@ -235,17 +285,47 @@ def records(read: Reader, size: int) -> Iterator[bytes]:
             raise BadArchive("a record ends beyond its member")
         chunk = read(base + first, stop - first)
         for offset, length in places[i : j + 1]:
-            yield gzip.decompress(chunk[offset - first : offset - first + length])
+            yield chunk[offset - first : offset - first + length]
         i = j + 1
 
 
+def _in_turn(read: Reader, base: int, size: int, packed: bool) -> Iterator[bytes]:
+    """The records of a member without an index, from its beginning on."""
+    held, out, inflate = bytearray(), bytearray(), zlib.decompressobj(31)
+    for at in range(0, size, READ):
+        part = read(base + at, min(READ, size - at))
+        if not packed:
+            held += part
+        for i in range(0, len(part) if packed else 0, GAP):
+            rest = part[i : i + GAP]
+            while rest:  # a gzip member for each record
+                out += inflate.decompress(rest)
+                rest = inflate.unused_data
+                if inflate.eof:
+                    yield bytes(out)
+                    inflate, out = zlib.decompressobj(31), bytearray()
+        done = 0
+        while (whole := _length(held, done)) and done + whole <= len(held):
+            yield bytes(held[done : done + whole])
+            done += whole
+        del held[:done]
+    if held or out:
+        raise BadArchive("a record is cut short")
+
+
+def _length(data: bytearray, at: int) -> int:
+    """Bytes of the record that begins at ``at``, with the blank lines behind it; 0 if its head isn't whole."""
+    end = data.find(b"\r\n\r\n", at)
+    return end + 4 - at + int(_fields(data[at:end].decode().split("\r\n")[1:])["content-length"]) + 4 if end >= 0 else 0
+
+
 def _text_id(x: int | None) -> str:
     return f"{ID}{'' if x is None else x}"
 
 
 def _id(text: str) -> int | None:
     found = text.strip("<>").removeprefix(ID)
-    return int(found) if found else None
+    return int(found) if text.strip("<>").startswith(ID) and found else None
 
 
 def with_originals(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0) -> DataFrame:
@@ -263,10 +343,10 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
     """Write (id, url, payload, refers_to) rows to archives in ``folder``: rows (path, bytes, records)."""
     ship(rows.sparkSession)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
+    folder = qualified(folder, default_store(rows.sparkSession)).rstrip("/")
 
-        where, root = fs.FileSystem.from_uri(folder)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = opened(folder)
         where.create_dir(root, recursive=True)
         name, stream, writer = "", None, None
 
@@ -294,7 +374,26 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
     return rows.select("id", "url", "payload", "refers_to").mapInArrow(work, "path string, bytes long, records long")
 
 
-SCHEMA = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+SCHEMA = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, record_id string"
+KINDS = ("response", "revisit", "resource")
+
+
+def _row(raw: bytes) -> tuple | None:
+    """A record as a row of ``SCHEMA``; None for one of another type."""
+    fields, http, block = parsed(raw)
+    kind, name = fields.get("warc-type", ""), fields.get("warc-record-id", "").strip("<>")
+    if kind not in KINDS:
+        return None
+    digest = fields.get("warc-payload-digest", "")
+    # a digest is of the payload as it was sent, which isn't known where it came in parts
+    if kind != "revisit" and (digest.startswith("sha1:") or not digest) and "transfer-encoding" not in http:
+        if digest and digest_of(block) != digest.removeprefix("sha1:").upper():
+            raise BadArchive(f"{name}: the payload doesn't have its digest")
+        digest = digest or digest_of(block)
+    refers = _id(fields.get("warc-refers-to", "")) if kind == "revisit" else None
+    length = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+    payload, n = (None, length) if kind == "revisit" else (block, len(block))
+    return _id(name), fields.get("warc-target-uri"), kind, payload, n, digest.removeprefix("sha1:") or None, refers, name
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -303,33 +402,30 @@ def read(archives: DataFrame) -> DataFrame:
     A response whose payload doesn't have its digest, or a broken archive, fails the read.
     """
     ship(archives.sparkSession)
-    names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+    names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to", "record_id"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+    store = default_store(archives.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             for path, size in zip(batch.column(0), batch.column(1), strict=True):
-                where, inner = fs.FileSystem.from_uri(path.as_py())
+                where, inner = opened(qualified(path.as_py(), store))
                 rows, held = [], 0
                 with where.open_input_file(inner) as f:
                     for raw in records(lambda at, n, f=f: f.read_at(n, at), size.as_py()):
-                        fields, http, payload = parsed(raw)
-                        kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-                        refers = _id(fields["warc-refers-to"]) if kind == "revisit" else None
-                        if kind == "response" and digest_of(payload) != digest:
-                            raise BadArchive(f"{fields['warc-record-id']}: the payload doesn't have its digest")
-                        rows.append((_id(fields["warc-record-id"]), fields["warc-target-uri"], kind, payload if kind == "response" else None, int(http["content-length"]), digest, refers))
-                        held += len(payload)
+                        if (row := _row(raw)) is None:
+                            continue
+                        rows.append(row)
+                        held += len(row[3] or b"")
                         if held > READ:
                             yield _batch(rows, names, kinds)
                             rows, held = [], 0
                 if rows:
                     yield _batch(rows, names, kinds)
 
-    # archives are dealt one by one: each is a task's worth of records
-    return archives.select("path", "bytes").repartition(F.xxhash64("path")).mapInArrow(work, SCHEMA)
+    # dealt in turn to a number of tasks that adaptive execution doesn't lower: the list is tiny, what it stands for isn't
+    tasks = min(max(1, archives.count()), TASKS)
+    return archives.select("path", "bytes").repartition(tasks).mapInArrow(work, SCHEMA)
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import random
 import zipfile
 
@@ -98,3 +99,58 @@ def test_broken_archives():
     for bad in (b"", b"PK\x05\x06", data[:-1], data[:100], data[10:], b"no archive" * 10):
         with pytest.raises(warc.BadArchive):
             list(warc.records(*reader(bad)))
+
+
+def foreign(rng):
+    """An archive as other tools make it: three WARC members, indexes of three kinds, records of other types."""
+    texts = [f"page {i} " + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 500))) for i in range(60)]
+    raws = [warc.record(f"urn:uuid:{i}", f"https://a.example/{i}", t.encode(), warc.digest_of(t.encode()), None) for i, t in enumerate(texts)]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:info>\r\nContent-Length: 4\r\n\r\nhead\r\n\r\n"
+    members, indexes = [info, info, info], [[], [], []]
+    for i, raw in enumerate(raws):
+        one = gzip.compress(raw) if i % 3 != 1 else raw
+        members[i % 3] = members[i % 3] if members[i % 3] != info or i % 3 == 1 else gzip.compress(info)
+        indexes[i % 3].append({"offset": str(len(members[i % 3])), "length": str(len(one)), "filename": ("a.warc.gz", "archive/b.warc", "c.warc.gz")[i % 3]})
+        members[i % 3] += one
+    lines = ["".join(f"com,example)/ 2020 {json.dumps(x)}\n" for x in part).encode() for part in indexes]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/a.warc.gz", members[0])
+        z.writestr("pages/pages.jsonl", "{}", compress_type=zipfile.ZIP_DEFLATED)
+        z.writestr("archive/b.warc", members[1])
+        z.writestr("archive/c.warc.gz", members[2])
+        z.writestr("indexes/one.cdx.gz", gzip.compress(b"!meta 0 {}\n" + lines[0]))
+        z.writestr("indexes/two.cdxj", lines[1], compress_type=zipfile.ZIP_DEFLATED)
+    return texts, out.getvalue()  # c.warc.gz has no index
+
+
+@pytest.mark.parametrize("read,gap", [(8_000_000, 64_000), (100, 7)])
+def test_archives_made_elsewhere(spark, monkeypatch, tmp_path, read, gap):
+    monkeypatch.setattr(warc, "READ", read)
+    monkeypatch.setattr(warc, "GAP", gap)
+    texts, data = foreign(random.Random(5))
+    found = [warc.parsed(r) for r in warc.records(*reader(data))]
+    payloads = [p.decode() for f, _, p in found if f["warc-type"] == "response"]
+    assert sorted(payloads) == sorted(texts) and len(found) == len(texts) + 1  # the head record of the member without index
+    (tmp_path / "x.wacz").write_bytes(data)
+    listed = spark.createDataFrame([(str(tmp_path / "x.wacz"), len(data))], "path string, bytes long")
+    got = warc.read(listed).collect()
+    assert {(r["record_id"], bytes(r["payload"]).decode(), r["page_id"]) for r in got} == {(f"urn:uuid:{i}", t, None) for i, t in enumerate(texts)}
+
+
+def test_every_archive_has_a_task(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 2)
+    df = spark.createDataFrame([(i, f"u{i}", f"text {i}") for i in range(100)], "page_id long, url string, html string").repartition(1)
+    listed = warc.staged(warc.write(warc.with_originals(df).coalesce(1), str(tmp_path / "a")), "list")
+    read = warc.read(listed)
+    tasks = read.rdd.mapPartitions(lambda rows: [len({r["page_id"] for r in rows})]).collect()
+    assert listed.count() == 50 and tasks == [2] * 50
+
+
+def test_an_archive_that_lacks_a_member():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/a.warc.gz", b"")
+        z.writestr("indexes/index.cdx", 'k 1 {"filename": "b.warc.gz", "offset": 0, "length": 1}')
+    with pytest.raises(warc.BadArchive):
+        list(warc.records(*reader(out.getvalue())))

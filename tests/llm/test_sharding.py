@@ -20,14 +20,57 @@ def test_hypergeometric_has_the_right_probabilities():
     assert abs(large - 10**7 * 4 / 14) < 12 * 1600
 
 
+def row_by_row(rows, shards, rng):
+    """The matrix drawn in another way: source after source, from the places that are left."""
+    left, out = np.array(shards), []
+    for n in rows:
+        out.append(rng.multivariate_hypergeometric(left, n))
+        left = left - out[-1]
+    return np.array(out)
+
+
+def by_tree(rows, shards, seed):
+    upto = np.cumsum([0, *rows])
+    return np.array([sharding.matrix_row(upto, np.array(shards), seed, i) for i in range(len(rows))])
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_matrix_sums(seed):
     rng = np.random.default_rng(seed)
-    rows = rng.integers(0, 50, 12).tolist()
+    rows = rng.integers(0, 50, 12 + seed).tolist()
     n, k = sum(rows), 7
     shards = [n // k + (i < n % k) for i in range(k)]
-    matrix = sharding.communication_matrix(rows, shards, seed)
-    assert (matrix >= 0).all() and matrix.sum(1).tolist() == rows and matrix.sum(0).tolist() == shards
+    for matrix in (by_tree(rows, shards, seed), row_by_row(rows, shards, rng)):
+        assert (matrix >= 0).all() and matrix.sum(1).tolist() == rows and matrix.sum(0).tolist() == shards
+
+
+def test_matrix_has_the_distribution_of_one_drawn_row_by_row():
+    rows, shards, n = [5, 0, 9, 3, 7], [8, 8, 8], 4000
+    rng = np.random.default_rng(1)
+    one = np.array([by_tree(rows, shards, seed) for seed in range(n)])
+    other = np.array([row_by_row(rows, shards, rng) for _ in range(n)])
+    mean = np.outer(rows, shards) / sum(rows)
+    assert np.abs(one.mean(0) - mean).max() < 0.1 and np.abs(other.mean(0) - mean).max() < 0.1
+    assert np.abs(one.var(0) - other.var(0)).max() < 0.15
+    cov = lambda m: np.cov(m.reshape(n, -1).T)
+    assert np.abs(cov(one) - cov(other)).max() < 0.15
+
+
+def test_a_task_derives_its_row_of_a_large_matrix():
+    rows = np.random.default_rng(0).integers(0, 10**6, 800_000)
+    upto = np.cumsum([0, *rows.tolist()])
+    sizes = np.array([int(upto[-1]) // 24 + (i < int(upto[-1]) % 24) for i in range(24)])
+    row = sharding.matrix_row(upto, sizes, 3, 654_321)
+    assert row.sum() == rows[654_321] and (np.abs(row - row.mean()) < 8 * np.sqrt(row.mean())).all()
+
+
+@pytest.mark.parametrize("size", [1000, 64_000_000])
+def test_no_task_receives_much(spark, monkeypatch, size):
+    monkeypatch.setattr(sharding, "PART_BYTES", size)
+    out = sharding.shard(spark.range(20_000).repartition(3), 2)
+    tasks = out.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(tasks) == 20_000 and max(tasks) < 1.3 * 20_000 / len(tasks)
+    assert len(tasks) == 4 if size > 10**6 else len(tasks) > 40
 
 
 @pytest.mark.parametrize("shards", [1, 7, 24])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chunkwise._ship import ship
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "fresh", "partitions", "release", "scratch_dir", "ship", "staged", "staged_count", "staged_path", "table"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "fresh", "partitions", "quoted", "release", "scratch_dir", "ship", "staged", "staged_count", "staged_path", "table"]
 
 #: ASCII letters; the contracts fold these and no others.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -74,6 +74,11 @@ def release(spark: SparkSession, since: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark takes it whatever it is made of."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names like ``names`` that ``df`` doesn't use, in any letter case."""
     used = {c.lower() for c in df.columns}

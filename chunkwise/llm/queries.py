@@ -27,7 +27,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL judged by the contract's rules, else by the spam host rules."""
+    """Every page's URL judged by the contract's rules, else by words in its host's labels."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     out = url_filter.judge(pages, "url", [*url_filter.CONTRACT, *url_filter.SPAM])
     return out.select("page_id", "host", "path", "rule", "verdict")
@@ -93,6 +93,12 @@ QUERIES = {
 
 _REST = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END"
 
+
+
+def _words(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
 ORACLE_SQL = {
     "op3_url_filter": f"""
         WITH rest AS (SELECT page_id, coalesce({_REST}, '') AS rest FROM pages),
@@ -112,7 +118,9 @@ ORACLE_SQL = {
         )
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN regexp_matches(host || path, '^([^/]*\\.)?(casino-win|cheap-pills|free-casino|online-pharmacy|xxx-videos)\\.') THEN 'block'
+            WHEN len(list_filter(string_split(host, '.')[:-2], lambda l:
+                len(list_intersect({_words(url_filter.STRONG)}, regexp_extract_all(l, '[a-z0-9]+'))) >= 1
+                OR len(list_intersect({_words(url_filter.WEAK)}, regexp_extract_all(l, '[a-z0-9]+'))) >= 2)) > 0 THEN 'block'
             ELSE 'allow' END AS verdict
         FROM ruled
     """,

@@ -11,31 +11,39 @@ about 0.19 or more, whatever its place in the class, and shares at least one of
 than ``LEAST`` shingles have no useful minima; all their shingles are looked up.
 
 Every document that shares a minimum with an item is verified: the share of the
-item's distinct shingles that stand anywhere in the whole document.
+item's distinct shingles that stand anywhere in the whole document, first by 64-bit
+hashes, and where these say enough by the shingles' words themselves.
 
 The items are the stated query set. They are sent to the executors in blocks of
 bounded size (``BLOCK_CHARS``), one pass over the documents for each block, so the
-documents are never shuffled and any number of items can be searched.
+documents are never shuffled and any number of items can be searched. Where there are
+several blocks, what each finds is written to the shared folder, and the block is taken
+back from the executors before the next one is sent; ``remove`` then drops the texts
+that were found by their digests.
 
 Defined results: null and empty documents and items contain nothing; an item of fewer
-words than a shingle is found in documents whose text is just these words; repeated
-documents are reported each; copies of an item are reported by their own ids; empty
-tables give empty results; extra columns are carried by ``remove``.
+words than a shingle is found in documents whose text is just these words; a very long
+document is searched whole, one in a task at a time; a share of just the threshold
+counts; repeated documents are reported each; copies of an item are reported by their
+own ids; empty tables give empty results; ``remove`` carries all columns, whatever they
+are called, ``find`` none but the ids.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwise.llm import shingles
-from chunkwise.llm._common import ship
+from chunkwise.llm._common import ship, staged
 
 #: Characters of items sent to the executors at a time.
 BLOCK_CHARS = 16_000_000
@@ -55,6 +63,7 @@ class Items:
 
     ids: list
     sets: list[np.ndarray]  # distinct shingles, sorted
+    texts: list[str] = field(default_factory=list)
     #: For each size class, and each of its hashes, the sorted minima and whose they are.
     classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
     #: Shingles of the smallest items, sorted, and whose they are.
@@ -67,6 +76,7 @@ def prepare(ids: list, texts: list[str | None], k: int) -> Items:
         for i in range(block.texts):
             if block.at[i] < block.at[i + 1]:
                 items.ids.append(ids[block.first + i])
+                items.texts.append(texts[block.first + i])
                 items.sets.append(np.unique(block.hashes[block.at[i] : block.at[i + 1]]))
     by_class: dict[int, list[int]] = {}
     for n, shingle_set in enumerate(items.sets):
@@ -127,33 +137,49 @@ def candidates(block: shingles.Block, items: Items) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
 
-def verified(block: shingles.Block, items: Items, threshold: float) -> Iterator[tuple[int, int, int]]:
+def words_of(text: str) -> list[bytes]:
+    """The words that shingles are made of."""
+    return _WORDS.findall(pc.utf8_lower(pa.scalar(text, pa.large_string())).as_py().encode())
+
+
+_WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
+
+
+def exact_shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
+    words = words_of(text)
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def verified(block: shingles.Block, items: Items, threshold: float, texts: pa.Array, k: int) -> Iterator[tuple[int, int, int]]:
     """(text, item, shared shingles) where the whole text holds the threshold's share of the item."""
-    last, have = -1, np.zeros(0, np.uint64)
+    last, have, own = -1, np.zeros(0, np.uint64), None
     for text, item in candidates(block, items).tolist():
         if text != last:
-            last, have = text, np.unique(block.hashes[block.at[text] : block.at[text + 1]])
+            last, have, own = text, np.unique(block.hashes[block.at[text] : block.at[text + 1]]), None
         want = items.sets[item]
         at = np.minimum(np.searchsorted(have, want), len(have) - 1)
-        shared = int((have[at] == want).sum())
-        if shared >= threshold * len(want):
-            yield block.first + text, item, shared
+        if int((have[at] == want).sum()) >= threshold * len(want):
+            own = exact_shingles(texts[block.first + text].as_py(), k) if own is None else own
+            wanted = exact_shingles(items.texts[item], k)
+            shared = len(own & wanted)
+            if shared >= threshold * len(wanted):
+                yield block.first + text, item, shared
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
-    """All items, a bounded block at a time."""
+def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list, bool]]:
+    """All items, a bounded block at a time; and whether there is one block only."""
     size = items.select(F.sum(F.length(text_col)).alias("n")).first()["n"] or 0
     n = -(-size // BLOCK_CHARS) or 1
     own = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     for i in range(n):
         rows = (own if n == 1 else own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)).collect()
         if rows:
-            yield [r["id"] for r in rows], [r["text"] for r in rows]
+            yield [r["id"] for r in rows], [r["text"] for r in rows], n == 1
 
 
 def _search(k: int, threshold: float, shared) -> Callable[[pa.Array], list[tuple[int, int, int]]]:
     def search(texts: pa.Array) -> list[tuple[int, int, int]]:
-        return [hit for block in shingles.blocks(texts, k) for hit in verified(block, shared.value, threshold)]
+        return [hit for block in shingles.blocks(texts, k) for hit in verified(block, shared.value, threshold, texts, k)]
 
     return search
 
@@ -172,7 +198,7 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     )
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for ids, texts in item_blocks(items, item_id, item_text):
+    for ids, texts, alone in item_blocks(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(prepare(ids, texts, k))
         search = _search(k, threshold, shared)
 
@@ -192,7 +218,11 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
                 )
 
         pa_type = _arrow(schema["item"].dataType)
-        out = out.unionAll(own.mapInArrow(found, schema))
+        hits = own.mapInArrow(found, schema)
+        if not alone:
+            hits = staged(hits, "hits")
+            shared.destroy()
+        out = out.unionAll(hits)
     return out
 
 
@@ -207,8 +237,10 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
     ship(docs.sparkSession)
     held = [f"_c{i}" for i in range(len(docs.columns))]
     text_at = docs.columns.index(text_col)
-    out = docs.toDF(*held)
-    for ids, texts in item_blocks(items, item_id, item_text):
+    plain = docs.toDF(*held)
+    digest = F.sha2(F.col(held[text_at]), 256)
+    gone = None
+    for ids, texts, alone in item_blocks(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(prepare(ids, texts, k))
         search = _search(k, threshold, shared)
 
@@ -218,5 +250,15 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
                 stays[[t for t, _, _ in search(batch.column(text_at))]] = False
                 yield batch.filter(pa.array(stays))
 
-        out = out.mapInArrow(clean, out.schema)
-    return out.toDF(*docs.columns)
+        def leaked(batches: Iterator[pa.RecordBatch], search=search) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.select([0]).take(pa.array(sorted({t for t, _, _ in search(batch.column(1))}), pa.int64()))
+
+        if alone:
+            return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
+        hits = staged(plain.select(digest.alias("_digest"), held[text_at]).mapInArrow(leaked, "_digest string"), "leaks")
+        shared.destroy()
+        gone = hits if gone is None else gone.unionAll(hits)
+    if gone is None:
+        return docs
+    return plain.join(gone.distinct(), digest == F.col("_digest"), "left_anti").toDF(*docs.columns)

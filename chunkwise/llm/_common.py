@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkwise._ship import ship
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "fresh", "partitions", "quoted", "release", "scratch_dir", "ship", "staged", "staged_count", "staged_path", "table"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "delete", "fresh", "partitions", "quoted", "release", "scratch_dir", "ship", "staged", "staged_count", "staged_path", "table"]
 
 #: ASCII letters; the contracts fold these and no others.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
-_staged: list[str] = []
+
+class _Staged(threading.local):
+    """The scratch tables of a thread, so that queries beside it keep theirs."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        _every.append(self.paths)
+
+
+_every: list[list[str]] = []
+_staged = _Staged()
 
 
 def ascii_lower(col: Column) -> Column:
@@ -47,8 +61,12 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def staged_path(spark: SparkSession, label: str) -> str:
+    """A new folder for a scratch table, which ``release`` or the end of the program takes away."""
+    if not getattr(spark.sparkContext, "_chunkwise_cleans", False):
+        atexit.register(_clean, spark.sparkContext)
+        spark.sparkContext._chunkwise_cleans = True
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _staged.append(path)
+    _staged.paths.append(path)
     return path
 
 
@@ -62,16 +80,27 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def staged_count() -> int:
-    return len(_staged)
+    return len(_staged.paths)
 
 
 def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the scratch tables made since ``staged_count()`` was ``since``; results read from them must be written."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while len(_staged) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(conf).delete(path, True)
+    """Delete the scratch tables that this thread made since ``staged_count()`` was ``since``; results read from them must be written."""
+    while len(_staged.paths) > since:
+        delete(spark, _staged.paths.pop())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _clean(context: SparkContext) -> None:
+    """What queries left for results that are read later goes when the program ends."""
+    with contextlib.suppress(Exception):  # the context may be gone by then
+        for paths in _every:
+            while context._jvm and paths:
+                where = context._jvm.org.apache.hadoop.fs.Path(paths.pop())
+                where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def quoted(name: str) -> str:

@@ -14,9 +14,11 @@ partitions, so the list is bounded) are sorted by (text, salt), which lets the
 splitters cut their run into many tasks. The salted pieces of such a text meet again
 through a table of at most one row per hot text, keyed by SHA-256.
 
-Defined results: a null text counts as empty; a null id loses to every other id; of
-rows that tie on text and id exactly one stays; an empty table gives an empty
-result; other columns are carried as they are, whatever they are called.
+Defined results: a null text counts as empty; a very long text is compared whole, but
+moved as a key once; a null id loses to every other id; of rows that tie on text and id,
+or are repeated, exactly one stays; an empty table gives an empty result; other columns
+are carried as they are, whatever they are called (``content_sort`` refuses columns
+called like its own).
 """
 
 from __future__ import annotations

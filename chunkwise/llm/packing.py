@@ -7,10 +7,13 @@ whatever the input. Within a group the pieces go, longest first, to the leftmost
 sequence that has room; a tournament tree over the free room of all sequences finds
 it in logarithmic time.
 
-Defined results: a null text counts as empty and is one piece that holds the end id;
-repeated rows are packed once each; an empty table gives an empty result; columns
-other than the id and the text are left out. Packing a task again gives the same
-sequences, as pieces are sorted before they are grouped.
+Defined results: a null text counts as empty and is one piece that holds the end id; a
+very long text is encoded whole and cut into many pieces; repeated rows are packed once
+each, and in one task where they agree in id and text (which holds one group of them at
+a time); of pieces of equal length the first in order of hash, id and start is placed
+first; an empty table gives an empty result; columns other than the id and the text are
+left out, whatever they are called. Packing a task again gives the same sequences, as
+pieces are sorted before they are grouped.
 """
 
 from __future__ import annotations

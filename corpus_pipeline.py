@@ -5,8 +5,9 @@ Parquet and read again as the next stage's documents. The first four return the
 they keep, with the columns of ``documents``; the last returns the packed pieces.
 
 Defined results, in every stage: a null text counts as empty, and all empty texts are
-copies of one another; rows whose other columns are null are rows like any other; of
-repeated rows one stays; rows without an id stay unless their text goes; rows that
+copies of one another; very long texts are judged whole; rows whose other columns are
+null are rows like any other; of repeated rows one stays; of copies that tie on what
+decides (the id) one stays; rows without an id stay unless their text goes; rows that
 share an id but not a text are judged one by one, except among near copies, where they
 stand or fall together; an empty table gives an empty result; columns beyond those of
 ``documents`` are carried up to the last stage, whatever they are called.
@@ -14,12 +15,10 @@ stand or fall together; an empty table gives an empty result; columns beyond tho
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from chunkwise.llm import decontaminate, exact_dedup, packing, simhash, tokens, toxicity
-from chunkwise.llm._common import release, scratch_dir, staged_count, table
+from chunkwise.llm._common import delete, release, staged_count, staged_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,14 +61,17 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; the result is the last one's."""
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
+        if stage is packed:
+            return stage(spark, docs, sf_dir)  # reads the table before, which goes when the program ends
+        path = staged_path(spark, f"pipeline-{name}")
         before = staged_count()
         out = stage(spark, docs, sf_dir)
-        if stage is packed:
-            return out
-        path = f"{scratch_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         out.write.parquet(path)
         release(spark, before)  # what this stage wrote for itself
         docs = spark.read.schema(out.schema).parquet(path)
+        if held:
+            delete(spark, held)
+        held = path
     return docs

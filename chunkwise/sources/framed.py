@@ -53,6 +53,8 @@ MARK = b"FRAMED01"
 FILE_BYTES = 128_000_000
 #: Items of a batch handed to Spark.
 BATCH = 65_536
+#: The codec of files that don't name one: the format's own default is a byte loop in Python.
+CODEC = "lz4"
 #: Files renamed at the same time.
 AT_ONCE = 32
 
@@ -228,7 +230,7 @@ class FramedWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         o = self.options
         kind = self.schema["v"].dataType
-        params = CParams(o.get("codec", C.DEFAULT_CODEC), int(o.get("clevel", C.DEFAULT_CLEVEL)), pack.width_of(kind), o.get("filter", C.EASY_FILTER), int(o.get("version", 2)))
+        params = CParams(o.get("codec", CODEC), int(o.get("clevel", C.DEFAULT_CLEVEL)), pack.width_of(kind), o.get("filter", C.EASY_FILTER), int(o.get("version", 2)))
         items = int(o.get("items", pack.ITEMS))
         where, root = opened(self.path)
         root = root.rstrip("/")

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text hashed at once (a longer text is hashed alone).
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 250_000
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _STEP = np.uint64(0xD6E8FEB86659FD93)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from cases import SCHEMA, nasty_rows, prose
@@ -122,14 +123,15 @@ def test_texts_of_one_fingerprint_are_verified(spark):
         rng.shuffle(words)
         rows.append((i, " ".join(words), None, None, None))
     rows += [(10 + i, rows[i][1] + " " + words[-1], None, None, None) for i in (2, 5)]  # near copies with that fingerprint
-    fps = {r["fp"] for r in simhash.fingerprinted(spark.createDataFrame(rows, SCHEMA), k=1, distinct=True).collect()}
+    fps = {r["fp"] for r in simhash.described(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", 5).collect()}
     assert len(fps) == 1
     assert {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(6))
 
 
 def test_links_that_fail_hide_no_copies(spark):
     rng = random.Random(13)
-    fp = lambda ws: int(simhash.fingerprints([*{xxhash.xxh64_intdigest(w.encode(), 42) for w in ws}], [len(set(ws))])[0])
+    of = lambda ws: [*simhash._sets(pa.array([" ".join(ws)]), 5)][0][2]
+    fp = lambda ws: int(simhash.fingerprints(of(ws), [len(of(ws))])[0])
     rows, n = [], 0
     while n < 8:
         a = prose(rng, 200).split()
@@ -142,3 +144,12 @@ def test_links_that_fail_hide_no_copies(spark):
             n += 1
     left = {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert left == {10 * i + j for i in range(8) for j in (0, 1)}
+
+
+def test_marks_at_words_make_no_difference(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(20):
+        words = prose(rng, 80).split()
+        rows += [(2 * i, " ".join(words), None, None, None), (2 * i + 1, "*** " + ", ".join(f"|{w}|" for w in words).upper() + "!", None, None, None)]
+    assert {r["doc_id"] for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()} == set(range(0, 40, 2))

@@ -204,6 +204,24 @@ def getitem_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.hex(get_items(compress(F.col("text"), CParams(typesize=1)), F.octet_length("text"), F.lit(1))).alias("items"))
 
 
+_WIDTHS = (*range(1, 17), 24, 32, 100)
+
+
+@query("getitem_grid", f"""
+    SELECT n_nationkey, t AS typesize, f AS filter, hex(encode(repeat(n_name, 200)))[6 * t + 1 : 16 * t] AS items
+    FROM nation, (SELECT unnest({list(_WIDTHS)}) AS t), (SELECT unnest({list(C.FILTERS)}) AS f)
+""")
+def getitem_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items 3 to 7 of every width, through every filter."""
+    text = F.repeat("n_name", 200)
+    cells = [
+        F.struct(F.lit(t).alias("typesize"), F.lit(f).alias("filter"), F.hex(get_items(compress(text, CParams("lz4", typesize=t, filter=f)), 3, 5)).alias("items"))
+        for t in _WIDTHS
+        for f in C.FILTERS
+    ]
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.inline(F.array(*cells)))
+
+
 # Headers.
 
 

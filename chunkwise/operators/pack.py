@@ -9,6 +9,7 @@ Schema of chunks: chunk_id, first (place of the first item), n, frame, validity,
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -20,7 +21,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from chunkwise._ship import ship
-from chunkwise.functions.codec import get_items
 from chunkwise.operators import frame as frames
 from chunkwise.operators.frame import CParams
 
@@ -30,6 +30,8 @@ WIDTHS = {
     T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16, T.StringType: 1, T.BinaryType: 1,
 }
 ITEMS = 4096
+#: Bytes of rows after which a task hands them on.
+PIECE = 4 << 20
 
 
 def width_of(kind: T.DataType) -> int:
@@ -39,10 +41,6 @@ def width_of(kind: T.DataType) -> int:
     raise ValueError(f"columns of type {kind.simpleString()} can't be packed")
 
 
-def _varies(kind: T.DataType) -> bool:
-    return isinstance(kind, (T.StringType, T.BinaryType))
-
-
 def _raw(values: pa.Array) -> bytes:
     """The bytes of fixed-width values without nulls."""
     if pa.types.is_boolean(values.type):
@@ -144,11 +142,69 @@ def pack(df: DataFrame, place: str, value: str, params: CParams | None = None, i
     return out.select("chunk_id", "first", "n", "_f.*")
 
 
-def unpack(chunks: DataFrame, kind: T.DataType) -> DataFrame:
-    """Rows (elem_idx, v) of all chunks."""
-    values = unpacked(F.col("frame"), F.col("n"), kind, F.col("validity"), F.col("offsets"))
-    rows = chunks.select("first", values.alias("_v")).select("first", F.posexplode("_v").alias("_i", "v"))
-    return rows.select((F.col("first") + F.col("_i")).alias("elem_idx"), "v")
+def _pieces(found: Iterable[tuple[int, int, pa.Array]], batch: pa.RecordBatch, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (keys, elem_idx, v) of runs of values, each with its chunk's row in the batch and its first place.
+
+    They are handed on some ``PIECE`` bytes at a time, so what is held doesn't grow with the chunks of a batch.
+    """
+    held: list[tuple[int, int, pa.Array]] = []
+
+    def done() -> pa.RecordBatch:
+        of = pa.array(np.repeat([i for i, _, _ in held], [len(v) for _, _, v in held]).astype(np.int64))
+        places = pa.array(np.concatenate([np.arange(at, at + len(v), dtype=np.int64) for _, at, v in held]))
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in keys), places, pa.concat_arrays([v for _, _, v in held])], names=[*keys, "elem_idx", "v"])
+
+    size = 0
+    for i, at, values in found:
+        step = max(1, len(values) * PIECE // max(1, values.nbytes + 8 * len(values)))
+        for k in range(0, len(values), step):
+            part = values[k : k + step]
+            held.append((i, at + k, part))
+            size += part.nbytes + 8 * len(part)
+            if size >= PIECE:
+                yield done()
+                held.clear()
+                size = 0
+    if held:
+        yield done()
+
+
+def _rows(chunks: DataFrame, kind: T.DataType, keys: list[str], lo: Column | None = None, count: Column | None = None) -> DataFrame:
+    """Rows (keys, elem_idx, v) of chunks, or of ``count`` items of each from ``lo`` on.
+
+    Not an array column that is exploded: Spark would then filter by its size, and pack and unpack everything twice for it.
+    """
+    arrow, ranged = to_arrow_type(kind), lo is not None
+    place = chunks.select(F.col("first") + F.lit(0)).schema[0].dataType
+    parts = {"_first": F.col("first"), "_lo": F.lit(0) if lo is None else lo, "_n": F.col("n") if count is None else count, "_all": F.col("n")}
+
+    ship()
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(batch: pa.RecordBatch) -> Iterator[tuple[int, int, pa.Array]]:
+            for i, row in enumerate(zip(*(batch.column(c) for c in ("_first", "_lo", "_n", "_all", "_frame", "_validity", "_offsets")), strict=True)):
+                first, start, n, whole, frame, validity, ends = (x.as_py() for x in row)
+                if frame is None:
+                    continue
+                if ranged and validity is None and ends is None:
+                    try:
+                        yield i, first + start, _values(frames.get_items(frame, start, n), arrow, n, None, None)
+                    except frames.BadFrame:
+                        continue
+                else:
+                    yield i, first + start, _values(frames.decode(frame), arrow, whole, validity, ends)[start : start + n]
+
+        for batch in batches:
+            yield from _pieces(found(batch), batch, keys)
+
+    columns = [*keys, *(c.cast("long").alias(k) for k, c in parts.items()), *(F.col(c).alias(f"_{c}") for c in ("frame", "validity", "offsets"))]
+    schema = T.StructType([*(chunks.schema[k] for k in keys), T.StructField("elem_idx", T.LongType()), T.StructField("v", kind)])
+    return chunks.select(*columns).mapInArrow(decode, schema).select(*keys, F.col("elem_idx").cast(place).alias("elem_idx"), "v")
+
+
+def unpack(chunks: DataFrame, kind: T.DataType, keys: list[str] | None = None) -> DataFrame:
+    """Rows (elem_idx, v) of all chunks, with the columns of their chunk that ``keys`` names before them."""
+    return _rows(chunks, kind, keys or [])
 
 
 def unpack_range(chunks: DataFrame, kind: T.DataType, start: int, count: int) -> DataFrame:
@@ -160,18 +216,4 @@ def unpack_range(chunks: DataFrame, kind: T.DataType, start: int, count: int) ->
     end = start + count
     touched = chunks.where((F.col("first") < end) & (F.col("first") + F.col("n") > start))
     lo, hi = F.greatest(F.lit(start) - F.col("first"), F.lit(0)), F.least(F.lit(end) - F.col("first"), F.col("n"))
-    if _varies(kind):
-        return unpack(touched, kind).where((F.col("elem_idx") >= start) & (F.col("elem_idx") < end))
-    plain = touched.where("validity IS NULL").withColumns({"_lo": lo, "_n": hi - lo})
-    arrow = to_arrow_type(kind)
-
-    ship()
-
-    @F.arrow_udf(T.ArrayType(kind))
-    def typed(data: pa.Array, n: pa.Array) -> pa.Array:
-        return _lists([_values(d.as_py(), arrow, k.as_py(), None, None) if d.is_valid else None for d, k in zip(data, n, strict=True)], arrow)
-
-    some = plain.select((F.col("first") + F.col("_lo")).alias("_at"), typed(get_items(F.col("frame"), F.col("_lo"), F.col("_n")), F.col("_n")).alias("_v"))
-    some = some.select("_at", F.posexplode("_v").alias("_i", "v")).select((F.col("_at") + F.col("_i")).alias("elem_idx"), "v")
-    rest = unpack(touched.where("validity IS NOT NULL"), kind).where((F.col("elem_idx") >= start) & (F.col("elem_idx") < end))
-    return some.unionAll(rest)
+    return _rows(touched, kind, [], lo, hi - lo)

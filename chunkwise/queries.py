@@ -137,8 +137,8 @@ def roundtrip_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frame of 32-bit floats for each row."""
     vectors = table(spark, sf_dir, "embeddings")
     done = vectors.select("vec_id", F.size("embedding").cast("long").alias("n"), pack.packed(F.col("embedding"), T.FloatType(), CParams(filter="shuffle")).alias("f"))
-    back = done.select("vec_id", pack.unpacked(F.col("f.frame"), F.col("n"), T.FloatType()).alias("e"))
-    return back.select("vec_id", F.posexplode("e").alias("pos", "v")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("v").cast("double").alias("v"))
+    back = pack.unpack(done.select("vec_id", F.lit(0).cast("long").alias("first"), "n", "f.*"), T.FloatType(), ["vec_id"])
+    return back.select("vec_id", F.col("elem_idx").alias("pos"), F.col("v").cast("double").alias("v"))
 
 
 def _typed(spark: SparkSession, sf_dir: str, source: str, place: str, column: str, show: Callable[[Column], Column] = lambda c: c, cast: str | None = None) -> DataFrame:

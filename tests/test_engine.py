@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,6 +138,33 @@ def test_gaps_are_refused(spark, places):
         pack.pack(df, "p", "v").collect()
 
 
+@needs_data
+@pytest.mark.parametrize(("name", "functions", "maps"), [("roundtrip_type_long", 1, 1), ("roundtrip_lz4hc_shuffle_v2", 1, 1), ("getitem_range", 1, 1), ("roundtrip_embeddings", 1, 1)])
+def test_chunks_are_packed_and_unpacked_once(spark, name, functions, maps):
+    steps = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert (steps.count("ArrowEvalPython"), steps.count("MapInArrow")) == (functions, maps)
+
+
+@pytest.mark.parametrize(("kind", "values"), [(pa.int64(), [*range(999), None]), (pa.string(), ["x" * i for i in range(1000)])])
+def test_rows_are_handed_on_in_pieces(monkeypatch, kind, values):
+    monkeypatch.setattr(pack, "PIECE", 8000)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"])], names=["k"])
+    found = [(0, 5, pa.array(values, kind)), (1, 0, pa.array(values[:0], kind)), *((2, 1000 * i, pa.array(values[:10], kind)) for i in range(200))]
+    made = list(pack._pieces(iter(found), batch, ["k"]))
+    assert max(b.nbytes for b in made) < 40_000 and len(made) > 4
+    want = [("abc"[i], at + j, v) for i, at, run in found for j, v in enumerate(run.to_pylist())]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want
+
+
+def test_unpack_keeps_keys_nulls_and_the_type_of_places(spark):
+    rows = [(i, None if i % 7 == 0 else f"s{i}") for i in range(100)]
+    chunks = pack.pack(spark.createDataFrame(rows, "p int, v string"), "p", "v", CParams("lz4"), 30)
+    back = pack.unpack(chunks, T.StringType(), ["chunk_id"])
+    assert back.schema["elem_idx"].dataType == T.IntegerType()
+    assert sorted(map(tuple, back.collect())) == [(p // 30, p, v) for p, v in rows]
+    assert sorted(map(tuple, pack.unpack_range(chunks, T.StringType(), 25, 40).collect())) == rows[25:65]
+
+
 def test_blocks_of_stored_empty_and_broken_frames(spark):
     noise = os.urandom(100)
     made = [frames.encode(noise, CParams("zstd")), frames.encode(b"", CParams("zstd")), frames.encode(bytes(5000), CParams("lz4", typesize=4)), b"short", None]

@@ -23,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from chunkwise._ship import ship
 from chunkwise.operators import frame as frames
 from chunkwise.operators.frame import CParams
+from chunkwise.operators.pieces import PIECE, cut
 
 #: Bytes of an item of each type.
 WIDTHS = {
@@ -30,8 +31,6 @@ WIDTHS = {
     T.LongType: 8, T.DoubleType: 8, T.TimestampType: 8, T.TimestampNTZType: 8, T.DecimalType: 16, T.StringType: 1, T.BinaryType: 1,
 }
 ITEMS = 4096
-#: Bytes of rows after which a task hands them on.
-PIECE = 4 << 20
 
 
 def width_of(kind: T.DataType) -> int:
@@ -96,9 +95,10 @@ def packed(values: Column, kind: T.DataType, params: CParams) -> Column:
     ship()
 
     @F.arrow_udf("struct<frame:binary,validity:binary,offsets:binary>")
-    def encode(lists: pa.Array) -> pa.Array:
-        done = [_frames(v.values, params) if v.is_valid else (None,) * 3 for v in lists]
-        return pa.StructArray.from_arrays([pa.array([d[i] for d in done], pa.binary()) for i in range(3)], names=["frame", "validity", "offsets"])
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            for done in cut((_frames(v.values, params) if v.is_valid else (None,) * 3 for v in lists), lambda d: sum(len(x or b"") for x in d)):
+                yield pa.StructArray.from_arrays([pa.array([d[i] for d in done], pa.binary()) for i in range(3)], names=["frame", "validity", "offsets"])
 
     return encode(values)
 
@@ -117,9 +117,11 @@ def unpacked(frame: Column, n: Column, kind: T.DataType, validity: Column | None
     ship()
 
     @F.arrow_udf(T.ArrayType(kind))
-    def decode(data: pa.Array, n: pa.Array, validity: pa.Array, offsets: pa.Array) -> pa.Array:
-        lists = [_values(frames.decode(d.as_py()), arrow, k.as_py(), v.as_py(), o.as_py()) if d.is_valid else None for d, k, v, o in zip(data, n, validity, offsets, strict=True)]
-        return _lists(lists, arrow)
+    def decode(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            lists = (_values(frames.decode(d.as_py()), arrow, k.as_py(), v.as_py(), o.as_py()) if d.is_valid else None for d, k, v, o in zip(*columns, strict=True))
+            for done in cut(lists, lambda v: 0 if v is None else v.nbytes):
+                yield _lists(done, arrow)
 
     none = F.lit(None).cast("binary")
     return decode(frame, n, none if validity is None else validity, none if offsets is None else offsets)

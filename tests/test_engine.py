@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from chunkwise import _files, queries, streaming
 from chunkwise import constants as C
 from chunkwise.functions import compress, decompress, get_items, header, status
-from chunkwise.operators import codecs, pack, relational
+from chunkwise.operators import codecs, pack, pieces, relational
 from chunkwise.operators import frame as frames
 from chunkwise.operators.frame import CParams
 from chunkwise.sources import framed
@@ -156,6 +156,33 @@ def test_rows_are_handed_on_in_pieces(monkeypatch, kind, values):
     assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want
 
 
+def _iterates(df, name):
+    """Whether the function of this name hands its results on in pieces."""
+    from pyspark.util import PythonEvalType
+
+    found, todo = [], [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        expressions = [node.expressions().apply(i) for i in range(node.expressions().size())]
+        while expressions:
+            e = expressions.pop()
+            expressions += [e.children().apply(i) for i in range(e.children().size())]
+            if e.getClass().getSimpleName() == "PythonUDF" and e.name() == name:
+                found.append(e.evalType() == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)
+    return bool(found) and all(found)
+
+
+def test_chunks_are_encoded_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "PIECE", 100)
+    assert [len(p) for p in pieces.cut([b"x" * n for n in (30, 30, 50, 200, 0, 99)], len)] == [3, 1, 2] and not list(pieces.cut([], len))
+    lists = spark.range(50).select("id", F.when(F.col("id") % 9 > 0, F.sequence(F.lit(0).cast("long"), F.col("id") * 100)).alias("v")).coalesce(1)
+    made = lists.select("id", "v", pack.packed(F.col("v"), T.LongType(), CParams("lz4hc", filter="shuffle")).alias("f"))
+    back = made.select("id", "v", pack.unpacked(F.col("f.frame"), F.size("v").cast("long"), T.LongType()).alias("b"))
+    assert _iterates(back, "encode") and _iterates(back, "decode")
+    assert all(r["v"] == r["b"] for r in back.collect())
+
+
 def test_unpack_keeps_keys_nulls_and_the_type_of_places(spark):
     rows = [(i, None if i % 7 == 0 else f"s{i}") for i in range(100)]
     chunks = pack.pack(spark.createDataFrame(rows, "p int, v string"), "p", "v", CParams("lz4"), 30)

@@ -1,12 +1,13 @@
 """Compression as column functions.
 
-They run as Arrow functions, a batch of frames at a time. Buffers that were stored
+They run as Arrow functions, a batch of frames at a time; what frames decode to is handed
+on in pieces, since it may be many times as large as they are. Buffers that were stored
 uncompressed are cut out by native expressions: Python gets a null instead of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -17,12 +18,19 @@ from chunkwise._ship import ship
 from chunkwise.functions.header import stored, stored_payload
 from chunkwise.operators import frame as frames
 from chunkwise.operators.frame import BadFrame, Context, CParams
+from chunkwise.operators.pieces import cut
 
 
-def _each(work: Callable[..., bytes | None], *columns: pa.Array) -> pa.Array:
-    """One value at a time out of Arrow memory and into it; nulls stay null."""
+def _pieces(work: Callable[..., bytes | None], *columns: pa.Array) -> Iterator[pa.Array]:
+    """One value at a time out of Arrow memory, and some into it at once; nulls stay null."""
     out = (None if any(not v.is_valid for v in row) else work(*(v.as_py() for v in row)) for row in zip(*columns, strict=True))
-    return pa.array(out, pa.binary())
+    for done in cut(out, lambda v: len(v or b"")):
+        yield pa.array(done, pa.binary())
+
+
+def _each(work: Callable[..., bytes | None], *columns: pa.Array) -> pa.Array:
+    """All values of a batch as one array."""
+    return pa.concat_arrays([pa.array([], pa.binary()), *_pieces(work, *columns)])
 
 
 def compress(buffer: Column, params: CParams | Context | None = None, **options: object) -> Column:
@@ -53,7 +61,7 @@ def decompress(frame: Column, mode: str = "permissive") -> Column:
     ship()
 
     @F.arrow_udf("binary")
-    def decode(data: pa.Array) -> pa.Array:
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         def one(d: bytes) -> bytes | None:
             try:
                 return frames.decode(d)
@@ -62,7 +70,8 @@ def decompress(frame: Column, mode: str = "permissive") -> Column:
                     raise
                 return None
 
-        return _each(one, data)
+        for data in batches:
+            yield from _pieces(one, data)
 
     native = stored(frame)
     return F.coalesce(F.when(native, stored_payload(frame)), decode(F.when(~native, frame)))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from chunkwise import _files, queries, streaming
 from chunkwise import constants as C
-from chunkwise.functions import compress, decompress, get_items, header, status
+from chunkwise.functions import codec, compress, decompress, get_items, header, status
 from chunkwise.operators import codecs, pack, pieces, relational
 from chunkwise.operators import frame as frames
 from chunkwise.operators.frame import CParams
@@ -183,6 +183,16 @@ def test_chunks_are_encoded_in_pieces(spark, monkeypatch):
     assert all(r["v"] == r["b"] for r in back.collect())
 
 
+def test_frames_decode_in_pieces(spark, monkeypatch):
+    frames_ = spark.range(20).select("id", compress(F.repeat(F.lit("ab"), (F.col("id") * 1000).cast("int")), CParams("lz4", 9, 16, "bitshuffle")).alias("f")).coalesce(1)
+    back = frames_.select("id", decompress(F.col("f")).cast("string").alias("t"))
+    assert _iterates(back, "decode") and {r["id"]: r["t"] for r in back.collect()} == {i: "ab" * 1000 * i for i in range(20)}
+    monkeypatch.setattr(pieces, "PIECE", 1000)
+    made = list(codec._pieces(lambda d: d * 100, pa.array([b"x" * (i % 7) for i in range(40)] + [None])))
+    assert max(p.nbytes for p in made) < 3000 and [v for p in made for v in p.to_pylist()] == [b"x" * (i % 7) * 100 for i in range(40)] + [None]
+    assert codec._each(bytes, pa.array([], pa.binary())).to_pylist() == [] and codec._each(bytes, pa.array([b"a" * 999, None, b"b"] * 2)).to_pylist() == [b"a" * 999, None, b"b"] * 2
+
+
 def test_unpack_keeps_keys_nulls_and_the_type_of_places(spark):
     rows = [(i, None if i % 7 == 0 else f"s{i}") for i in range(100)]
     chunks = pack.pack(spark.createDataFrame(rows, "p int, v string"), "p", "v", CParams("lz4"), 30)

@@ -6,6 +6,8 @@ caller decodes reach Python.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from chunkwise import constants as C
 from chunkwise._ship import ship
 from chunkwise.functions.header import block_starts, byte, header, int32, outcome
 from chunkwise.operators import codecs, filters
+from chunkwise.operators.pieces import cut
 
 
 def headers(chunks: DataFrame, frame: str = "frame") -> DataFrame:
@@ -80,13 +83,19 @@ def decoded_blocks(stream_rows: DataFrame, keys: list[str]) -> DataFrame:
     ship()
 
     @F.arrow_udf("binary")
-    def expand(payload: pa.Array, codec: pa.Array, size: pa.Array) -> pa.Array:
-        return pa.array([codecs.decompress(c.as_py(), p.as_py(), n.as_py()) if p.is_valid else None for p, c, n in zip(payload, codec, size, strict=True)], pa.binary())
+    def expand(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            made = (codecs.decompress(c.as_py(), p.as_py(), n.as_py()) if p.is_valid else None for p, c, n in zip(*columns, strict=True))
+            for done in cut(made, lambda d: len(d or b"")):
+                yield pa.array(done, pa.binary())
 
     @F.arrow_udf("binary")
-    def unfilter(data: pa.Array, filter_id: pa.Array, typesize: pa.Array) -> pa.Array:
+    def unfilter(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         undo = {C.SHUFFLE: filters.unshuffle, C.BITSHUFFLE: filters.bitunshuffle}
-        return pa.array([undo.get(f.as_py(), lambda d, _: d)(d.as_py(), t.as_py()) if d.is_valid else None for d, f, t in zip(data, filter_id, typesize, strict=True)], pa.binary())
+        for columns in batches:
+            made = (undo.get(f.as_py(), lambda d, _: d)(d.as_py(), t.as_py()) if d.is_valid else None for d, f, t in zip(*columns, strict=True))
+            for done in cut(made, lambda d: len(d or b"")):
+                yield pa.array(done, pa.binary())
 
     n = F.col("neblock")
     fill = F.lpad(F.hex(F.pmod(-F.col("size_field"), F.lit(256)).cast("long")), 2, "0")

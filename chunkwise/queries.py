@@ -490,8 +490,9 @@ def _short_block(frame: Column) -> Column:
 def relational_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames decoded as tables: blocks, streams, payloads, and blocks again."""
     parts = relational.decoded_blocks(relational.streams(relational.blocks(_id_chunks(spark, sf_dir))), ["chunk_id"])
-    ids = pack.unpacked(compress(F.col("data"), CParams()), F.floor(F.octet_length("data") / 8).cast("long"), T.LongType())
-    rows = parts.select("chunk_id", F.explode(ids).alias("v"))
+    none = F.lit(None).cast("binary")
+    frames = parts.select("chunk_id", F.lit(0).cast("long").alias("first"), F.floor(F.octet_length("data") / 8).cast("long").alias("n"), compress(F.col("data"), CParams()).alias("frame"), none.alias("validity"), none.alias("offsets"))
+    rows = pack.unpack(frames, T.LongType(), ["chunk_id"])
     return rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first_id"), F.max("v").alias("last_id"), F.sum("v").alias("total"))
 
 

@@ -212,6 +212,23 @@ def test_blocks_of_stored_empty_and_broken_frames(spark):
     assert got[0] == (noise, "ok") and got[2] == (bytes(5000), "ok") and {got[i] for i in (3, 4)} == {(None, "invalid_header")}
 
 
+def test_blocks_are_decoded_in_pieces(spark):
+    """Every codec and filter, split and unsplit blocks, one broken stream."""
+    data = b"".join(i.to_bytes(8, "little") for i in range(30_000))
+    kinds = [(c, f) for c in C.CODECS for f in C.FILTERS]
+    made = [frames.encode(data, CParams(c, 1, 8, f)) for c, f in kinds]
+    broken = bytearray(made[kinds.index(("zlib", "shuffle"))])
+    broken[-1] ^= 255
+    rows = relational.decoded_blocks(relational.streams(relational.blocks(spark.createDataFrame(list(enumerate([*made, bytes(broken)])), "k int, frame binary"))), ["k"])
+    assert _iterates(rows, "expand") and _iterates(rows, "unfilter")
+    got = {}
+    for r in sorted(rows.collect(), key=lambda r: (r["k"], r["block_idx"])):
+        got.setdefault(r["k"], []).append((r["data"], r["status"]))
+    for k in range(len(kinds)):
+        assert b"".join(d for d, _ in got[k]) == data and {s for _, s in got[k]} == {"ok"}
+    assert [s for _, s in got[len(kinds)]].count("failed") == 1 and got[len(kinds)][-1] == (None, "failed")
+
+
 @pytest.mark.parametrize("size", [1, 100, 5 << 20])
 def test_lz4_blocks_must_give_their_size(size):
     data = (b"abcdefgh" * (size // 8 + 1))[:size]
